@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, minhash, packing, pii, quality, token_files
+from . import embeddings, licenses, media, minhash, packing, pii, quality, secrets, sentencepieces, token_files
 from .storage import table
 
 
@@ -16,10 +16,22 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.encode_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -39,6 +51,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (scored.score >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +67,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_token_files, op5_best_fit_packing, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_quality_classifier, op10_pii, pipeline)
+    for f in (
+        op1_media_columns, op2_license_scans, op3_token_files, op4_secret_scans, op5_best_fit_packing, op6_embedding_near_dedup,
+        op7_minhash_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_pii, pipeline,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -13,15 +13,20 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces that are remembered at most; beyond it the memory starts anew.
-REMEMBERED = 300_000
-
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿   -     　]|<\\|")
-#: byte_bpe: before a single space, and around other white space as its own pattern cuts it.
-_BYTE_PIECES = re.compile(r"\s+(?!\S)| ?\S+|\s").findall
-
-
-def _word_pieces(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+REMEMBERED = 1_000_000
+
+_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
+# Letters whose class all libraries agree on and that stay letters in lower case, up to a sign that always ends a piece (not the apostrophe of "'s").
+_LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+(?=[!-&(-/:-@\[-`{-~\s]|\Z)"
+_PIECES = {
+    # Around white space as the tokenizer's own pattern cuts it: a single space goes with what follows.
+    "byte": re.compile(rf"\s+(?!\S)| ?{_LETTERS}| ?\S+|\s").findall,
+    # White space is dropped, all but these two signs by the library itself.
+    "word": re.compile(rf"{_LETTERS}|[^ \n]+").findall,
+}
+#: Text between pieces of letters that are asked for together; it is one token of its own.
+_BETWEEN = {"byte": "\n", "word": " 0 "}
+_TOGETHER = 2000
 
 
 class PieceEncoder:
@@ -32,30 +37,43 @@ class PieceEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.pieces = {"word": _word_pieces, "byte": _BYTE_PIECES}[splits]
+        self.pieces, self.between = _PIECES[splits], _BETWEEN[splits]
+        self.mark = self.lib.encode(self.between, add_special_tokens=False).ids[0]
         self.memory: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        letters = [p for p in pieces if p.lstrip(" ").isalpha()]
+        for i in range(0, len(letters), _TOGETHER):
+            some = letters[i : i + _TOGETHER]
+            ids = np.array(self.lib.encode(self.between.join(some) + self.between, add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            if len(ends) != len(some):
+                self.memory.update(zip(some, self._ask(some)))
+                continue
+            raw = ids.tobytes()
+            self.memory.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, [0, *(e + 1 for e in ends)], ends))
+        rest = [p for p in pieces if not p.lstrip(" ").isalpha()]
+        self.memory.update(zip(rest, self._ask(rest)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if _ODD.search(text):
-                out += self._ask([text])
-                continue
-            memory = self.memory
-            pieces = self.pieces(text)
-            fresh = list(set(pieces).difference(memory))
+        memory = self.memory
+        for a in range(0, len(texts), 64):
+            some = [None if not t or _ODD.search(t) else self.pieces(t) for t in texts[a : a + 64]]
+            fresh = {p for pieces in some if pieces for p in pieces}.difference(memory)
+            if len(memory) + len(fresh) > REMEMBERED:
+                memory.clear()
+                fresh = {p for pieces in some if pieces for p in pieces}
             if fresh:
-                if len(memory) + len(fresh) > REMEMBERED:
-                    memory.clear()
-                    fresh = list(set(pieces))
-                memory.update(zip(fresh, self._ask(fresh)))
-            out.append(b"".join(map(memory.__getitem__, pieces)))
+                self._learn(list(fresh))
+            for text, pieces in zip(texts[a : a + 64], some):
+                if pieces is not None:
+                    out.append(b"".join(map(memory.__getitem__, pieces)))
+                else:
+                    out.append(self._ask([text])[0] if text else b"")
         return out
 
 
