@@ -105,10 +105,11 @@ def batch_offsets(spark, sf_dir):
 
 @query(
     f"""WITH {FILES_SQL}, g AS (SELECT DISTINCT doc_id AS gid FROM documents)
-SELECT gid, file_id, gid - "offset" AS id FROM g LEFT JOIN o ON gid BETWEEN "offset" + 1 AND "offset" + max_id"""
+SELECT gid, coalesce(file_id, -1) AS file_id, coalesce(gid - "offset", -1) AS id FROM g LEFT JOIN o ON gid BETWEEN "offset" + 1 AND "offset" + max_id"""
 )
 def id_to_file(spark, sf_dir):
-    return ops.to_file(known(spark, sf_dir).select(F.col("id").alias("gid")), files(spark, sf_dir))
+    got = ops.to_file(known(spark, sf_dir).select(F.col("id").alias("gid")), files(spark, sf_dir))
+    return got.select("gid", F.coalesce("file_id", F.lit(-1)).alias("file_id"), F.coalesce("id", F.lit(-1)).alias("id"))
 
 
 @query(

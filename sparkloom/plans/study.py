@@ -42,9 +42,9 @@ def streaks(spark, sf_dir):
     return ops.streaks(table(spark, sf_dir, "events").select("user_id", "ts"), F.lit(NOW[:10]).cast("date"))
 
 
-@query("SELECT user_id, day FROM (SELECT user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) DESC) AS r FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS ts FROM events)) WHERE r <= 400")
+@query("SELECT user_id, CAST(day AS VARCHAR) AS day FROM (SELECT user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) DESC) AS r FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS ts FROM events)) WHERE r <= 400")
 def study_days(spark, sf_dir):
-    return ops.days(table(spark, sf_dir, "events").select("user_id", "ts"))
+    return ops.days(table(spark, sf_dir, "events").select("user_id", "ts")).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"WITH {FOLD_SQL} SELECT user_id, card, known, last, grades FROM f")
@@ -88,10 +88,10 @@ def waiting_words(spark, sf_dir):
 
 @query(
     f"""WITH {LOG_SQL}, f AS (SELECT user_id, card, min(ts) AS ts FROM log GROUP BY user_id, card)
-SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM f GROUP BY ALL"""
+SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM f GROUP BY ALL"""
 )
 def daily_new_words(spark, sf_dir):
-    return ops.daily_new(log(spark, sf_dir), "user_id")
+    return ops.daily_new(log(spark, sf_dir), "user_id").withColumn("day", F.col("day").cast("string"))
 
 
 @query(
