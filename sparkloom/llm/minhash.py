@@ -5,9 +5,9 @@ Similarity is the probability Jaccard
 ``J_P(x, y) = sum_d 1 / sum_e max(x_e / x_d, y_e / y_d)``; with equal weights it is the plain
 Jaccard similarity. Each shingle is a Poisson process with its weight as rate; each arrival
 falls into one of ``bands * rows`` registers, which keep the earliest. A document stops as
-soon as no shingle can arrive before the latest of its registers. Registers are banded;
-documents of a bucket are compared exactly, each with the bucket's leaders, until no two of
-them that are still in different components are left unseen.
+soon as no shingle can arrive before the latest of its registers. Registers are banded. The
+documents of a bucket are compared exactly with its first; where that leaves several components in a bucket,
+all pairs across components are: one by one in small buckets, by matrix products over blocks in large ones.
 
 With 24 bands of 4 rows a pair of similarity 0.8 is missed with probability 3e-6.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ from .storage import discard, staged
 BANDS, ROWS, K, THRESHOLD = 24, 4, 5, 0.8
 #: Characters whose shingles are in memory at a time.
 SLICE = 2_000_000
-#: Pairs for each bucket row that are compared without choosing leaders first.
-CHEAP = 16
+#: Rows up to which a bucket's pairs are compared one by one; documents on a side of a block in larger ones.
+SMALL, BLOCK = 12, 1024
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -176,6 +177,109 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(run, "a long, b long")
 
 
+def _mixed(crowd: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, rep, lead, component, n) of the buckets with more than one component; n counts a bucket's rows."""
+    placed = crowd.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "lead", F.coalesce("component", "rep").alias("component"))
+    many = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
+    return placed.join(many.select("bucket", "n"), "bucket")
+
+
+def _block_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that join the components of large buckets, as (a, b).
+
+    Components that share a large bucket are a cluster. The documents outside its largest
+    component are compared with all of it, in blocks of at most ``BLOCK`` by ``BLOCK`` documents,
+    each a task of its own that returns only links which join two components.
+    """
+    ends = mixed.groupBy("bucket").agg(F.min("component").alias("a"))
+    cluster = staged(connected_components(mixed.join(ends, "bucket").select("a", F.col("component").alias("b"))), "clusters")
+    rows = mixed.select("rep", "component").distinct().join(cluster.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
+    rows = staged(rows, "clustered")
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    cores = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    cores = cores.select(
+        "cluster",
+        F.col("m.component").alias("core"),
+        F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("asked"),
+        F.ceil(F.col("all") / BLOCK).cast("int").alias("held"),
+    )
+    dealt = rows.join(cores, "cluster").withColumn("deal", F.xxhash64("rep"))
+    queries = dealt.where("component <> core").select("cluster", F.pmod("deal", "asked").alias("i"), F.explode(F.sequence(F.lit(0), F.col("held") - 1)).alias("j"), "rep", "component", F.lit(True).alias("query"))
+    held = dealt.select("cluster", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("i"), F.pmod("deal", "held").alias("j"), "rep", "component", F.lit(False).alias("query"))
+    both = queries.select(*held.columns).unionByName(held).join(sets.select(F.col("node").alias("rep"), "h", "w"), "rep")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(rows, threshold), columns=["a", "b"], dtype=np.int64)
+
+    return both.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def block_links(rows: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Links between queries and held documents that join two components.
+
+    For shared shingles S, J_P is at most the weight of S in either document, as a share of its own; products of
+    matrices find the pairs that may reach the threshold, which are then computed exactly unless
+    their components have been joined.
+    """
+    held = rows[~rows["query"]].drop_duplicates("rep")
+    asked = rows[rows["query"]].drop_duplicates("rep")
+    if not len(held) or not len(asked):
+        return []
+
+    def unpack(side: pd.DataFrame):
+        hs = [np.frombuffer(x, np.uint64) for x in side["h"]]
+        ws = [None if x is None else np.frombuffer(x, np.uint32) for x in side["w"]]
+        flat = np.concatenate(hs)
+        share = np.concatenate([np.full(len(h), 1 / len(h)) if w is None else w / w.sum() for h, w in zip(hs, ws)]).astype(np.float32)
+        doc = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
+        order = np.argsort(flat, kind="stable")
+        return hs, ws, flat[order], share[order], doc[order]
+
+    h2, w2, flat2, share2, doc2 = unpack(held)
+    ids1, ids2 = asked["rep"].to_numpy(), held["rep"].to_numpy()
+    names = {c: i for i, c in enumerate(pd.concat((asked["component"], held["component"])).unique())}
+    up = list(range(len(names)))
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    c1, c2 = asked["component"].map(names).to_numpy(), held["component"].map(names).to_numpy()
+    width = max(256, 8_000_000 // len(held))
+    out = []
+    for at in range(0, len(asked), 64):
+        part = asked.iloc[at : at + 64]
+        h1, w1, flat1, share1, doc1 = unpack(part)
+        vocabulary = np.unique(flat1)
+        mass1, mass2 = np.zeros((len(part), len(held)), np.float32), np.zeros((len(part), len(held)), np.float32)
+        for v in range(0, len(vocabulary), width):
+            some = vocabulary[v : v + width]
+            sides = []
+            for flat, share, doc, n in ((flat1, share1, doc1, len(part)), (flat2, share2, doc2, len(held))):
+                lo, hi = np.searchsorted(flat, some[0], "left"), np.searchsorted(flat, some[-1], "right")
+                col = np.minimum(np.searchsorted(some, flat[lo:hi]), len(some) - 1)
+                hit = some[col] == flat[lo:hi]
+                has, mass = np.zeros((n, len(some)), np.float32), np.zeros((n, len(some)), np.float32)
+                has[doc[lo:hi][hit], col[hit]] = 1
+                mass[doc[lo:hi][hit], col[hit]] = share[lo:hi][hit]
+                sides.append((has, mass))
+            (a1, m1), (a2, m2) = sides
+            mass1 += m1 @ a2.T
+            mass2 += a1 @ m2.T
+        may = np.minimum(mass1, mass2) >= threshold - 1e-3
+        for i in range(len(part)):
+            own = c1[at + i]
+            near = np.flatnonzero(may[i])
+            for j in near[np.argsort(-np.minimum(mass1[i, near], mass2[i, near]), kind="stable")]:
+                a, b = top(own), top(c2[j])
+                if a != b and probability_jaccard(h1[i], w1[i], h2[j], w2[j]) >= threshold - 1e-9:
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(ids1[at + i]), int(ids2[j])))
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -195,46 +299,22 @@ def near_duplicates(
     sets = staged(_shingle_sets(texts.join(nodes, "doc_id"), k), "shingles")
 
     pairs = crowd.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    seen = staged(pairs, "pairs")
-    links = staged(_verified(seen, sets, threshold), "links")
-    leaders = 4
-    while True:
+    links = staged(_verified(pairs, sets, threshold), "links")
+    comp = staged(connected_components(links), "components")
+
+    # Buckets whose members are still in different components: small ones pair by pair, large ones in blocks.
+    left = staged(_mixed(crowd, comp), "mixed")
+    small = left.where(F.col("n") <= SMALL).select("bucket", "rep", "component")
+    other = small.select("bucket", F.col("rep").alias("a"), F.col("component").alias("c"))
+    more = other.join(small, "bucket").where("a < rep and c <> component").select("a", F.col("rep").alias("b")).distinct()
+    links = staged(links.unionByName(_verified(more, sets, threshold)), "links")
+    large = left.where(F.col("n") > SMALL).select("bucket", "rep", "lead")
+    if not large.isEmpty():
         comp = staged(connected_components(links), "components")
-        placed = crowd.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "bucket", "rep", F.coalesce("component", "rep").alias("component")
-        )
-        mixed = (
-            placed.groupBy("bucket")
-            .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
-            .where("c0 < c1 and n > 2")
-            .select("bucket", "n")
-        )
-        left = staged(placed.join(mixed, "bucket"), "mixed")
-        load = left.agg(F.count("*").alias("rows"), F.sum("n").alias("pairs"), F.max("n").alias("most")).first()
-        if not load["rows"]:
-            break
-        last = load["pairs"] <= 2 * CHEAP * load["rows"] or leaders >= load["most"]
-        if last:
-            lead = left.select("bucket", F.col("rep").alias("lead"), F.col("component").alias("c"))
-        else:
-            lead = left.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("slot")).agg(
-                F.min(F.struct("rep", "component")).alias("m")
-            ).select("bucket", F.col("m.rep").alias("lead"), F.col("m.component").alias("c"))
-        fresh = (
-            left.join(lead, "bucket")
-            .where("component <> c")
-            .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-            .distinct()
-            .join(seen, ["a", "b"], "left_anti")
-        )
-        fresh = staged(fresh, "pairs")
-        links = staged(links.unionByName(_verified(fresh, sets, threshold)), "links")
-        if last:
-            comp = staged(connected_components(links), "components")
-            break
-        seen = staged(seen.unionByName(fresh), "pairs")
-        leaders *= 8
-    for spent in (crowd, sets, seen):
+        left = staged(_mixed(large, comp), "mixed")
+        links = staged(links.unionByName(_block_links(left, sets, threshold)), "links")
+    comp = staged(connected_components(links), "components")
+    for spent in (crowd, sets, left):
         discard(spent)
 
     placed = member.select("doc_id", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")

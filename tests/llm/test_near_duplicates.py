@@ -93,13 +93,20 @@ def changed(words, n, rng):
     return " ".join(words)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("small", [12, 1])
+def test_against_brute_force(spark, monkeypatch, small):
+    """With ``small`` at 1, all mixed buckets are compared in blocks."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = random.Random(1)
     texts = {}
     for f in range(12):
         base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(40, 160))]
         for _ in range(rng.randint(1, 9)):
             texts[len(texts) + 100] = changed(base, rng.randint(0, 4), rng)
+    base = [f"v{rng.randrange(400)}" for _ in range(90)] + ["la"] * 20
+    for _ in range(60):
+        texts[len(texts) + 100] = changed(base, rng.randint(1, 5), rng)
     texts |= {1: "tiny text", 2: "Tiny, text", 3: "", 4: None, 5: "la " * 50, 6: "la " * 60}
     rows = [(k, t, "en", "s", 0) for k, t in texts.items()]
     got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
