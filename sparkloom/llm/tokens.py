@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces that are remembered at most; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
 # Letters whose class all libraries agree on and that stay letters in lower case, up to a sign that always ends a piece (not the apostrophe of "'s").
@@ -26,7 +26,7 @@ _PIECES = {
 }
 #: Text between pieces of letters that are asked for together; it is one token of its own.
 _BETWEEN = {"byte": "\n", "word": " 0 "}
-_TOGETHER = 2000
+_TOGETHER = 100
 
 
 class PieceEncoder:
@@ -45,17 +45,19 @@ class PieceEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        letters = [p for p in pieces if p.lstrip(" ").isalpha()]
-        for i in range(0, len(letters), _TOGETHER):
-            some = letters[i : i + _TOGETHER]
-            ids = np.array(self.lib.encode(self.between.join(some) + self.between, add_special_tokens=False).ids, "<u4")
+        letters, rest = [], []
+        for p in pieces:
+            (letters if p.lstrip(" ").isalpha() else rest).append(p)
+        groups = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
+        asked = self.lib.encode_batch_fast([self.between.join(g) + self.between for g in groups], add_special_tokens=False)
+        for some, got in zip(groups, asked):
+            ids = np.array(got.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark).tolist()
             if len(ends) != len(some):
-                self.memory.update(zip(some, self._ask(some)))
+                rest += some
                 continue
             raw = ids.tobytes()
             self.memory.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, [0, *(e + 1 for e in ends)], ends))
-        rest = [p for p in pieces if not p.lstrip(" ").isalpha()]
         self.memory.update(zip(rest, self._ask(rest)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
