@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a block must have; lines between two cue lines that belong to the block; words kept around a cue in a long line.
+#: Words that a block must have; lines between two cue lines that belong to the block, and their greatest length; words of a
+#: long line, and those kept around a cue in a long line.
 CUE = r"(?i)licen[sc]e|copyright|\bspdx\b|\bcc[ -]by|\bcc0\b|creative commons|public domain|permission is hereby|redistribution and use|as is"
-GAP, LONG, AROUND = 3, 120, 60
+GAP, SHORT, LONG, AROUND = 3, 200, 120, 60
 #: Templates that are aligned; least share of a template's words found in order; least size reduction.
 LEADERS, WORDING, REDUCTION = 4, 0.85, 0.15
 
@@ -69,7 +70,7 @@ def blocks(text: str | None) -> list[tuple[int, int]]:
     for line in text.split("\n"):
         tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", line)] if _CUE.search(line) else None
         if tokens is None:
-            since += 1
+            since += 1 if len(line) <= SHORT else GAP + 1
         elif len(tokens) <= LONG:
             joins = out and since <= GAP and at - out[-1][1] <= 2000
             out[-1:] = [(out[-1][0], at + len(line))] if joins else [*out[-1:], (at, at + len(line))]
