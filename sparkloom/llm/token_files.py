@@ -86,19 +86,18 @@ def encode_block(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths:
     if not n.all():
         raise ValueError("an id without a code")
     ends = np.cumsum(n)
-    stream = []
-    carry = np.zeros(0, np.uint8)
-    for a in range(0, len(ids), 1 << 17):
-        k, c = n[a : a + (1 << 17)], codes[ids[a : a + (1 << 17)]]
-        bit = np.arange(MAX_BITS)
-        here = bit[None, :] < k[:, None]
-        bits = (c[:, None] >> np.maximum(k[:, None] - 1 - bit[None, :], 0).astype(np.uint32)) & np.uint32(1)
-        flat = np.concatenate((carry, bits[here].astype(np.uint8)))
-        whole = len(flat) // 8 * 8
-        stream.append(np.packbits(flat[:whole]).tobytes())
-        carry = flat[whole:]
-    stream.append(np.packbits(carry).tobytes())
-    code = b"".join(stream)
+    total = int(ends[-1]) if len(ends) else 0
+    words = np.zeros(total // 32 + 2, np.uint64)
+    for a in range(0, len(ids), 1 << 18):
+        k, at = n[a : a + (1 << 18)], (ends - n)[a : a + (1 << 18)]
+        # Each code in the upper and lower half of 64 bits that start at a multiple of 32. No code is longer
+        # than 16 bits, so every 32 bits hold the start of one, and codes of a word are neighbours.
+        bits = codes[ids[a : a + (1 << 18)]].astype(np.uint64) << (64 - k - (at & 31)).astype(np.uint64)
+        word = at >> 5
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        words[word[first]] += np.add.reduceat(bits >> np.uint64(32), first)
+        words[word[first] + 1] += np.add.reduceat(bits & np.uint64(0xFFFFFFFF), first)
+    code = words.astype(">u4").tobytes()[: -(-total // 8)]
     marks = (ends - n)[::STEP].astype("<u8").tobytes()
     table = zlib.compress(lengths.tobytes(), 6)
     head = struct.pack("<4sIIQQ", MAGIC, len(table), len(sizes), len(ids), len(code))
@@ -135,59 +134,75 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenised(docs: DataFrame, path: str, end: int = 2, splits: str = "word") -> DataFrame:
-    """(doc_id, ids, crc): ids as little-endian unsigned 32-bit integers, the end id last."""
+    """Rows of kind 'doc': (doc_id, ids, crc), ids as little-endian unsigned integers of 16 bits, or 32 where the
+    vocabulary asks for it, the end id last, and crc the checksum of their 32-bit form. And a row of
+    kind 'counts' from each task: ids holds the ids it has seen and how often, as 64-bit integers.
+    """
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, splits)
+        kind = id_type(enc.lib.get_vocab_size())
+        total = np.zeros(max(enc.lib.get_vocab_size(), end + 1), np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 ids = [x + tail for x in enc.encode(texts[a:b])]
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                total += np.bincount(flat, minlength=len(total))
+                ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // (4 // kind.itemsize)
+                stored = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(ids), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(flat.astype(kind))]
+                ).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(list(map(zlib.crc32, ids)), pa.int64())],
-                    names=["doc_id", "ids", "crc"],
+                    [pa.array(["doc"] * (b - a)), batch.column(0).slice(a, b - a), stored, pa.array(list(map(zlib.crc32, ids)), pa.int64())],
+                    names=["kind", "doc_id", "ids", "crc"],
                 )
+        used = np.flatnonzero(total)
+        row = [["counts"], [None], [np.stack((used, total[used])).astype("<i8").tobytes()], [None]]
+        types = [pa.string(), pa.int64(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=["kind", "doc_id", "ids", "crc"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind string, doc_id long, ids binary, crc long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, crc long")
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs; as many numbers as the vocabulary has ids reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total: dict[int, int] = {}
         for batch in batches:
-            for ids in batch.column("ids"):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    total = np.concatenate((total, np.zeros(len(got) - len(total), np.int64)))
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+            for row in batch.column("ids"):
+                for i, n in np.frombuffer(row.as_buffer(), "<i8").reshape(2, -1).T.tolist():
+                    total[i] = total.get(i, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.where("kind = 'counts'").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(int(max(rows.column("id").to_pylist(), default=-1)) + 1, np.int64)
     out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-def write(tokens: DataFrame, partitions: int, limit: int = MAX_BITS) -> DataFrame:
-    """Blocks (part, block, n_tokens, data) of a table of (doc_id, ids, crc), staged in the shared folder."""
+def write(tokens: DataFrame, partitions: int, vocabulary: int, limit: int = MAX_BITS) -> DataFrame:
+    """Blocks (part, block, docs, n_tokens, data) of what ``tokenised`` returns, staged in the shared folder."""
     lengths = code_lengths(id_counts(tokens), limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, no = TaskContext.get().partitionId(), 0
-        codes = canonical(lengths)[0]
+        codes, kind = canonical(lengths)[0], id_type(vocabulary)
         docs: list = []
         ids: list = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            data = encode_block(np.frombuffer(b"".join(ids), "<u4"), sizes, codes, lengths)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
+            data = encode_block(np.frombuffer(b"".join(ids), kind), sizes, codes, lengths)
             row = [[part], [no], [docs], [int(sizes.sum())], [data]]
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=["part", "block", "docs", "n_tokens", "data"])
@@ -196,14 +211,14 @@ def write(tokens: DataFrame, partitions: int, limit: int = MAX_BITS) -> DataFram
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 docs.append(doc)
                 ids.append(x)
-                held += len(x) // 4
+                held += len(x) // kind.itemsize
                 if held >= BLOCK:
                     yield close()
                     docs, ids, held, no = [], [], 0, no + 1
         if docs:
             yield close()
 
-    dealt = tokens.repartitionByRange(partitions, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+    dealt = tokens.where("kind = 'doc'").select("doc_id", "ids", "crc").repartitionByRange(partitions, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
     return staged(dealt.mapInArrow(run, "part int, block int, docs array<long>, n_tokens long, data binary"), "token-files")
 
 
@@ -237,6 +252,8 @@ def read(blocks: DataFrame) -> DataFrame:
 
 def encode_documents(docs: DataFrame, path: str, end: int = 2, partitions: int | None = None) -> DataFrame:
     """Writes all documents' ids to blocks and returns the blocks."""
-    tokens = staged(tokenised(docs, path, end), "token-ids")
+    from tokenizers import Tokenizer
+
+    tokens = staged(tokenised(docs, path, end), "token-ids", "kind")
     n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return write(tokens, n)
+    return write(tokens, n, Tokenizer.from_file(path).get_vocab_size())
