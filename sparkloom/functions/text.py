@@ -135,3 +135,97 @@ def snippet(text: Column, start: Column, length: Column, span: int = 55) -> Colu
     last = b0 - F.instr(F.reverse(F.substring(text, F.lit(1), b0 + 1)), " ") + 1
     b = F.when((b0 < n) & (last > start + length) & (last <= b0), last).otherwise(b0)
     return F.concat(F.when(a > 0, "…").otherwise(""), F.trim(F.substring(text, a + 1, b - a)), F.when(b < n, "…").otherwise(""))
+
+
+#: Names of languages and their codes (fixed values).
+LANGUAGE_NAMES = {
+    "english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es", "italian": "it", "italiano": "it", "portuguese": "pt",
+    "dutch": "nl", "polish": "pl", "czech": "cs", "swedish": "sv", "turkish": "tr", "russian": "ru", "ukrainian": "uk", "japanese": "ja", "korean": "ko", "chinese": "zh",
+}
+
+
+def language_code(name: Column) -> Column:
+    """A code's first two letters, the code of a name that begins with a known one, else its letters, eight at most."""
+    n = F.lower(F.trim(name))
+    out = F.substring(F.regexp_replace(n, "[^a-z]", ""), 1, 8)
+    for known, code in reversed(LANGUAGE_NAMES.items()):
+        out = F.when(n.startswith(known), code).otherwise(out)
+    return F.when(n.rlike("^[a-z]{2,3}(?:-[a-z]{2,4})?$"), F.substring(n, 1, 2)).otherwise(out)
+
+
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+GAP = "_____"
+
+
+def cloze(sentence: Column, word: Column) -> Column:
+    """The sentence with a gap for the word: whole words in any case, or else, for words of five letters or more, those with its stem.
+
+    An article before the word and brackets after it don't count; in scripts without spaces it is found anywhere.
+    """
+    core = F.trim(F.regexp_replace(F.regexp_replace(word, "\\s+\\([^()]*\\)$", ""), "(?i)" + ARTICLE, ""))
+    literal = lambda w: F.regexp_replace(w, "([.*+?^${}()|\\[\\]\\\\])", "\\\\$1")
+    whole = F.regexp_replace(sentence, F.concat(F.lit("(?iu)(?<![\\p{L}\\p{M}])"), literal(core), F.lit("(?![\\p{L}\\p{M}])")), F.lit(GAP))
+    stem = F.substring(core, F.lit(1), F.greatest(F.lit(4), F.length(core) - 2))
+    bent = F.regexp_replace(sentence, F.concat(F.lit("(?iu)(?<![\\p{L}\\p{M}])"), literal(stem), F.lit("[\\p{L}\\p{M}]*")), F.lit(GAP))
+    return (
+        F.when((core == "") | sentence.isNull(), sentence).when(core.rlike(UNSPACED), F.replace(sentence, core, F.lit(GAP)))
+        .when(whole != sentence, whole).when(F.length(core) >= 5, bent).otherwise(sentence)
+    )
+
+
+#: Parts of font names by family (fixed values).
+MONO, SANS, SERIF = "mono|courier|consol|menlo|typewriter", "sans|arial|helvet|verdana|calibri|tahoma|roboto|gothic", "serif|times|georgia|garamond|roman|palatino|cambria|book"
+
+
+def font_family(name: Column, monospaced: Column, serifed: Column) -> Column:
+    low = F.lower(name)
+    return (
+        F.when(low.rlike(MONO), "monospace").when(low.rlike(SANS), "sans-serif").when(low.rlike(SERIF), "serif")
+        .when(monospaced, "monospace").when(serifed, "serif").otherwise("sans-serif")
+    )
+
+
+def prose_words(text: Column, least: int = 3) -> Column:
+    """How many words have ``least`` letters or more of one alphabet, Latin or Greek."""
+    found = F.regexp_extract_all(text, F.lit(f"\\p{{L}}{{{least},}}"), F.lit(0))
+    return F.size(F.filter(found, lambda w: ~(w.rlike("\\p{IsLatin}") & w.rlike("\\p{IsGreek}"))))
+
+
+def contents_entry(text: Column) -> Column:
+    """(title, page) of a contents line: a title with a letter, four leader dots or more, a number in digits or Roman; else null."""
+    pattern = "(?i)^(.*?\\S)\\s*(?:(?:[.·⋅_]\\s?|…\\s?){4,}|(?:…\\s?){2,})\\s*(\\d{1,4}|[ivxlcdm]{1,7})\\s*$"
+    one = squeezed(text)
+    title = F.regexp_extract(one, pattern, 1)
+    return F.when(one.rlike(pattern) & title.rlike(LETTER), F.struct(title.alias("title"), F.regexp_extract(one, pattern, 2).alias("page")))
+
+
+_PLAIN, _RAISED, _LOWERED = "0123456789+-=()", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎"
+
+
+def script_text(text: Column, size: Column, shift: Column, line_size: Column) -> Column:
+    """Raised or lowered small text in Unicode signs, if all of its characters have one."""
+    able = (size <= 0.85 * line_size) & F.trim(text).rlike("^[0-9+=()\\- ]+$")
+    raised, lowered = F.translate(text, _PLAIN, _RAISED), F.translate(text, _PLAIN, _LOWERED)
+    return F.when(able & (shift > 0.15 * line_size), raised).when(able & (shift < -0.08 * line_size), lowered).otherwise(text)
+
+
+def with_language(markup: Column, code: str) -> Column:
+    """An XHTML page whose html element names the language."""
+    bare = F.regexp_replace(markup, "(?i)(<html\\b[^>]*?)\\s+(?:xml:)?lang\\s*=\\s*(?:\"[^\"]*\"|'[^']*')", "$1")
+    bare = F.regexp_replace(bare, "(?i)(<html\\b[^>]*?)\\s+(?:xml:)?lang\\s*=\\s*(?:\"[^\"]*\"|'[^']*')", "$1")
+    return F.regexp_replace(bare, "(?i)<html\\b", f'<html lang="{code}" xml:lang="{code}"')
+
+
+def latin_language(text: Column, words: dict[str, list[str]], share: float = 0.08, ahead: float = 1.4) -> Column:
+    """Language of accent-free text of 30 words or more: the best share of function words, at least ``share`` and ``ahead`` times the next; else null."""
+    accents, plain = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+    found = F.regexp_extract_all(F.translate(F.lower(text), accents, plain), F.lit("[a-z]+"), F.lit(0))
+    table = str.maketrans(accents, plain)
+
+    def share_of(lang: str) -> Column:
+        own = sorted({w.translate(table) for w in words[lang]})
+        return F.size(F.filter(found, lambda w: w.isin(own))) / F.size(found)
+
+    scored = F.array_sort(F.array(*(F.struct((-share_of(k)).alias("s"), F.lit(k).alias("lang")) for k in sorted(words))))
+    best, second = -scored[0]["s"], -scored[1]["s"]
+    return F.when((F.size(found) >= 30) & (best >= share) & (best >= second * ahead), scored[0]["lang"])

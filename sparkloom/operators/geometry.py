@@ -160,3 +160,96 @@ def formula_groups(areas: DataFrame, factor: float = 0.8) -> DataFrame:
         return kept.assign(lead=kept.root.map(lead))[["doc_id", "page", "seg_id", "lead"]]
 
     return areas.groupBy(*PAGE).applyInPandas(run, "doc_id long, page int, seg_id int, lead int")
+
+
+def margins(lines: DataFrame) -> DataFrame:
+    """Left and right ends of the horizontal lines of a page."""
+    return lines.where("rotation = 0").groupBy(*PAGE).agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
+
+
+def typical_gap(gaps: Column) -> Column:
+    """Upper median of the gaps under 0.8; 0.3 if there are none."""
+    normal = F.array_sort(F.filter(gaps, lambda g: g < 0.8))
+    return F.coalesce(F.get(normal, F.floor(F.size(normal) / 2).cast("int")), F.lit(0.3))
+
+
+def overlap_share(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """The part of box a that b covers."""
+    w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
+    h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+    area = (a["x1"] - a["x0"]) * (a["y1"] - a["y0"])
+    return F.when(area > 0, w * h / area).otherwise(0.0)
+
+
+def spaced_text(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, line, text): spans by pos, with a blank where none is and the gap is over 0.15 of the smaller size."""
+    order = Window.partitionBy(*PAGE, "line").orderBy("pos")
+    gap = F.col("x0") - F.lag("x1").over(order) > 0.15 * F.least("size", F.lag("size").over(order))
+    bare = ~F.lag("text").over(order).endswith(" ") & ~F.col("text").startswith(" ")
+    part = F.concat(F.when(F.coalesce(gap & bare, F.lit(False)), " ").otherwise(""), "text")
+    rows = spans.select(*PAGE, "line", "pos", part.alias("part"))
+    own = rows.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
+    return own.select(*PAGE, "line", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("text"))
+
+
+def styled_start(spans: DataFrame, *by: str) -> DataFrame:
+    """(by..., words): the spans before the first in the base style, if not all are, have four words at most and end in a
+    word with a digit or in a colon or full stop. Needs pos, text, base."""
+    order = Window.partitionBy(*by).orderBy("pos")
+    rows = spans.where(F.trim("text") != "").withColumn("_b", F.max(F.col("base").cast("int")).over(order)).withColumn("_any", F.max(F.col("base").cast("int")).over(Window.partitionBy(*by)))
+    lead = rows.where("_b = 0 and _any = 1").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"))
+    text = F.trim(F.array_join(F.transform("p", lambda x: x["text"]), " "))
+    words = F.split("words", "\\s+")
+    return lead.select(*by, text.alias("words")).where((F.size(words) <= 4) & F.element_at(words, -1).rlike("\\d|[:.]$"))
+
+
+def odd_words(spans: DataFrame, most: int = 64) -> DataFrame:
+    """(seg_id, word, style): words in another style than the segment's main one that never occur in it, in the style they first have.
+
+    Needs doc_id, seg_id, pos, text, style, main; the most is per segment, as in the format it serves.
+    """
+    rows = spans.select("doc_id", "seg_id", "style", "main", F.col("pos"), F.posexplode(F.split(F.trim("text"), "\\s+")).alias("i", "word")).where("word <> ''")
+    plain = rows.where("style = main").select("doc_id", "seg_id", "word").distinct()
+    first = rows.where("style <> main").groupBy("doc_id", "seg_id", "word").agg(F.min_by("style", F.struct("pos", "i")).alias("style"), F.min(F.struct("pos", "i")).alias("at"))
+    odd = first.join(plain, ["doc_id", "seg_id", "word"], "left_anti")
+    return odd.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "seg_id").orderBy("at"))).where(F.col("_n") <= most).select("doc_id", "seg_id", "word", "style")
+
+
+def free_span(segments: DataFrame, edges: DataFrame, width: float) -> DataFrame:
+    """(doc_id, page, seg_id, left, right): how far a segment may grow before an edge that overlaps its middle band.
+
+    The page's margin is 0.04 of its width, 24 at most; a gap of 0.4 sizes stays free.
+    """
+    s, e = segments.alias("s"), edges.alias("e")
+    h = F.col("s.y1") - F.col("s.y0")
+    band = (F.col("e.y1") >= F.col("s.y0") + 0.2 * h) & (F.col("e.y0") <= F.col("s.y1") - 0.2 * h)
+    both = s.join(e, (F.col("s.doc_id") == F.col("e.doc_id")) & (F.col("s.page") == F.col("e.page")) & band, "left")
+    margin = min(0.04 * width, 24)
+    right = F.min(F.when(F.col("e.x0") >= F.col("s.x1") - 0.5, F.col("e.x0") - 0.4 * F.col("s.size")))
+    left = F.max(F.when(F.col("e.x1") <= F.col("s.x0") + 0.5, F.col("e.x1") + 0.4 * F.col("s.size")))
+    own = both.groupBy("s.doc_id", "s.page", "s.seg_id", "s.x0", "s.x1").agg(left.alias("l"), right.alias("r"))
+    return own.select(
+        "doc_id", "page", "seg_id", F.least("x0", F.greatest(F.coalesce("l", F.lit(margin)), F.lit(margin))).alias("left"),
+        F.greatest("x1", F.least(F.coalesce("r", F.lit(width - margin)), F.lit(width - margin))).alias("right"),
+    )
+
+
+def alignment(lines: DataFrame, *by: str) -> DataFrame:
+    """(by..., align) of paragraphs: left, center, right or justify. Needs no, x0, x1, size, rotation, left, right (margins) and width."""
+    a = lines.groupBy(*by).agg(
+        F.max("size").alias("size"), F.min("x0").alias("l0"), F.max("x0").alias("l1"), F.min("x1").alias("r0"), F.max("x1").alias("r1"), F.count("*").alias("n"), F.first("rotation").alias("rot"),
+        F.max(F.struct("no", "x1"))["x1"].alias("last"), F.array_sort(F.collect_list(F.struct("no", "x1"))).alias("all"), F.max((F.col("x0") + F.col("x1")) / 2).alias("c1"),
+        F.min((F.col("x0") + F.col("x1")) / 2).alias("c0"), F.first("left").alias("ml"), F.first("right").alias("mr"), F.first("width").alias("w"),
+    )
+    tol = 0.6 * F.col("size")
+    body = F.transform(F.slice("all", F.lit(1), F.greatest(F.col("n").cast("int") - 1, F.lit(1))), lambda x: x["x1"])
+    middle = (F.col("l0") + F.col("r1")) / 2
+    centred = ((F.abs(middle - F.col("w") / 2) < 0.02 * F.col("w")) | (F.abs(middle - (F.col("ml") + F.col("mr")) / 2) < 0.02 * F.col("w"))) & (F.col("r1") - F.col("l0") < 0.8 * F.col("w"))
+    single = (
+        F.when(F.col("l0") - F.col("ml") < 2 * F.col("size"), "left").when(centred, "center")
+        .when((F.abs(F.col("r1") - F.col("mr")) < tol) & (F.col("l0") - F.col("ml") > 0.3 * F.col("w")), "right").otherwise("left")
+    )
+    even, flush = F.col("l1") - F.col("l0") < tol, F.col("r1") - F.col("r0") < tol
+    block = even & (F.col("n") >= 3) & (F.array_max(body) - F.array_min(body) < tol) & (F.col("last") < F.array_max(body) - tol)
+    several = F.when(block, "justify").when(even, "left").when(flush, "right").when(F.col("c1") - F.col("c0") < tol, "center").otherwise("left")
+    return a.select(*by, F.when(F.col("rot") != 0, "left").when(F.col("n") == 1, single).otherwise(several).alias("align"))

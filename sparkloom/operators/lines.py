@@ -112,3 +112,17 @@ def number_transfer(tr: Column, lead: Column, text: Column) -> Column:
     new = F.aggregate(hits, start, step, lambda s: s["out"])
     made = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, d: F.array(g, d))), "")
     return F.when((F.size(a) == F.size(b)) & (a != b), made).otherwise(tr)
+
+
+def synced(members: DataFrame) -> DataFrame:
+    """(id, target) of the members of repeats whose target changes.
+
+    ``members(key, mode, id, text, target)``, the smallest id of a key being its lead. Once: the lead's target with the
+    member's own numbers; keep: none; each: as it is.
+    """
+    lead = members.groupBy("key").agg(F.min_by(F.struct("id", "text", "target"), "id").alias("lead"))
+    both = members.join(lead, "key").where("mode <> 'each'")
+    old, own = F.coalesce("target", F.lit("")), F.coalesce("lead.target", F.lit(""))
+    moved = F.when(F.trim(own) == "", "").otherwise(number_transfer(own, F.col("lead.text"), F.col("text")))
+    new = F.when(F.col("mode") == "keep", "").when(F.col("id") == F.col("lead.id"), old).otherwise(moved)
+    return both.select("id", new.alias("target"), old.alias("_old")).where("target <> _old").drop("_old")

@@ -159,3 +159,29 @@ def restore(current: DataFrame, backup: DataFrame) -> DataFrame:
         kept("translation"), kept("example"), kept("example_tr"), F.min_by("added", "o").alias("added"), F.min_by("seen", "o").alias("seen"),
         F.max_by(F.coalesce("known", F.lit(0)), best).alias("known"), F.max_by("last", best).alias("last"), F.bool_or(F.coalesce("fav", F.lit(False))).alias("fav"),
     )
+
+
+def merge_keywords(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """A document's list with new rows (term, translation, example, example_tr, ord) by lower-cased term: translations are replaced, examples if not blank."""
+    filled = lambda c: F.max_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("o"))).alias(c)
+    both = current.withColumn("o", F.lit(-1)).unionByName(rows.withColumnRenamed("ord", "o")).withColumn("key", F.lower(F.trim("term"))).where("key <> ''")
+    out = both.groupBy("key").agg(F.min_by("term", "o").alias("term"), F.max_by("translation", "o").alias("translation"), filled("example"), filled("example_tr"))
+    return out.select("term", "translation", F.coalesce("example", F.lit("")).alias("example"), F.coalesce("example_tr", F.lit("")).alias("example_tr"))
+
+
+def moved(vocabulary: DataFrame, terms: DataFrame, source: str, target: str, now: Column) -> DataFrame:
+    """Rows of a pair's terms added to another pair, as ``add_terms`` adds them; nothing happens if the pairs are equal."""
+    if not target or source == target:
+        return vocabulary
+    picked = terms.select("term").distinct().withColumn("_m", F.lit(True))
+    marked = vocabulary.join(picked, "term", "left").withColumn("_m", F.coalesce("_m", F.lit(False)) & (F.col("pair") == source))
+    gone = marked.where("_m").select(F.lit(target).alias("pair"), "term", "translation", "example", "example_tr", F.lit(0).alias("ord"), now.alias("ts"))
+    return add_terms(marked.where("not _m").select(vocabulary.columns), gone)
+
+
+def deck_added(deck: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One row: whether a pair has at least one, and four fifths, of a deck's rows."""
+    terms = deck.select("term").distinct()
+    best = vocabulary.join(terms, "term", "left_semi").groupBy("pair").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("best"))
+    size = deck.agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.8)).alias("need"))
+    return best.join(size, F.lit(True)).select((F.col("best") >= F.col("need")).alias("added"))

@@ -203,3 +203,47 @@ def kind_of(content: Column, name: Column) -> Column:
     by_name = F.when(low.rlike("\\.(?:fb2|srt|vtt|md|txt)$"), F.regexp_extract(low, "\\.([a-z0-9]+)$", 1))
     text = F.when(F.hex(F.substring(content, 1, 6)) == "574542565454", "vtt")
     return F.coalesce(by_bytes, zipped, text, by_name, F.lit("pdf"))
+
+
+def keyword_block(text: Column) -> Column:
+    """The lines from a [[keywords]] line up to the next numbered marker; null without one."""
+    pattern = "(?is)(?:^|\\n)[ \\t]*\\[\\[[ \\t]*keywords[ \\t]*\\]\\][ \\t]*\\n?(.*?)(?=\\n[ \\t]*\\[\\[[ \\t]*[0-9]+[ \\t]*\\]\\]|\\z)"
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+
+
+def deck_text(rows: DataFrame, name: str, tag: str) -> DataFrame:
+    """One text of a card deck: a head of directives, then term, translation and tag by tabs, examples in italics below."""
+    def clean(c: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\\t", " "), "\\r?\\n", "<br>")
+
+    side = lambda c, e: F.concat(clean(c), F.when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("<br><i>"), clean(e), F.lit("</i>"))).otherwise(""))
+    line = F.concat_ws("\t", side("term", "example"), side("translation", "example_tr"), F.lit(tag))
+    own = rows.agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("all"))
+    head = f"#separator:tab\n#html:true\n#notetype:Basic\n#deck:{name}\n#tags column:3\n"
+    return own.select(F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def spliced(edits: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, text): replacements (file, start, end, value) put into each file's text by their places; files without any stay as they are."""
+    own = edits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("e"))
+    text = F.col("text")
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda s, x: F.struct(x["end"].cast("int").alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"].cast("int") - s["at"]), x["value"]).alias("out"))
+    made = F.aggregate("e", state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return files.join(own, "file", "left").select("file", F.coalesce(made, text).alias("text"))
+
+
+def read_any(files: DataFrame) -> DataFrame:
+    """(file, id, target) of texts of any exchange format, by name or by how they begin: XLIFF, JSON, CSV and TSV, else markers."""
+    low, head = F.lower("file"), F.regexp_replace("text", "^[\\s\ufeff]+", "")
+    kind = (
+        F.when(low.rlike("\\.xli?ff?$") | (head.startswith("<") & F.substring(head, 1, 500).contains("xliff")), "xliff")
+        .when(low.endswith(".json") | head.rlike("^[{\\[](?!\\[)"), "json").when(low.rlike("\\.[ct]sv$"), "csv").otherwise("markers")
+    )
+    sorted_ = files.withColumn("kind", kind)
+    readers = {"xliff": read_xliff, "json": read_json, "csv": read_csv, "markers": read_markers}
+    out = None
+    for name, read in readers.items():
+        part = read(sorted_.where(F.col("kind") == name).select("file", "text"))
+        out = part if out is None else out.unionByName(part)
+    return out
