@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +34,24 @@ from .storage import discard, staged
 
 BANDS, ROWS, K, THRESHOLD = 24, 4, 5, 0.8
 #: Characters whose shingles are in memory at a time.
-SLICE = 2_000_000
+SLICE = 600_000
 #: Rows up to which a bucket's pairs are compared one by one; documents on a side of a block in larger ones.
 SMALL, BLOCK = 12, 1024
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together have about ``limit`` characters."""
+def slices(texts: list | pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together have about ``limit`` characters (bytes, for an Arrow array)."""
+    sizes = pc.binary_length(texts).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n or 0
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def probminhash(h: np.ndarray, w: np.ndarray, doc: np.ndarray, docs: int, m: int) -> np.ndarray:
@@ -108,9 +110,9 @@ def signatures(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
-                h, w, doc = weighted_shingles(texts[a:b], k)
+                h, w, doc = weighted_shingles(texts.slice(a, b - a).to_pylist(), k)
                 n = b - a
                 keys = band_keys(probminhash(h, w, doc, n, bands * rows), bands, rows)
                 mark = []
@@ -137,9 +139,9 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
-                h, w, doc = weighted_shingles(texts[a:b], k)
+                h, w, doc = weighted_shingles(texts.slice(a, b - a).to_pylist(), k)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 hs, ws = [], []
                 for s, e in zip(cut[:-1], cut[1:]):
@@ -158,16 +160,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.to_pydict()
             keep = []
-            for h1, w1, h2, w2 in zip(d["h1"], d["w1"], d["h2"], d["w2"]):
-                s = probability_jaccard(
-                    np.frombuffer(h1, np.uint64),
-                    None if w1 is None else np.frombuffer(w1, np.uint32),
-                    np.frombuffer(h2, np.uint64),
-                    None if w2 is None else np.frombuffer(w2, np.uint32),
-                )
-                keep.append(s >= threshold - 1e-9)
+            for row in zip(*(batch.column(c) for c in ("h1", "w1", "h2", "w2"))):
+                h1, w1, h2, w2 = (np.frombuffer(x.as_buffer(), kind) if x.is_valid else None for x, kind in zip(row, (np.uint64, np.uint32) * 2))
+                keep.append(probability_jaccard(h1, w1, h2, w2) >= threshold - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def side(name: str, n: int) -> DataFrame:
