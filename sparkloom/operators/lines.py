@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import with_starts
 from ..functions.text import repeat_key
 
 BREAK = "\\r\\n|\\n|\\r"
@@ -15,14 +16,8 @@ BREAK = "\\r\\n|\\n|\\r"
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, no, line, start): lines with their place in the text, for breaks of one character."""
     rows = docs.select("doc_id", *keep, F.split("text", BREAK).alias("all"))
-    sized = F.aggregate(
-        "all",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), x.alias("line")))).alias("out")
-        ),
-        lambda a: a["out"],
-    )
+    make = lambda at, x: F.struct(at.alias("start"), x.alias("line"))
+    sized = with_starts(F.col("all"), lambda x: F.length(x) + 1, make, "struct<start:int,line:string>")
     return rows.select("doc_id", *keep, F.posexplode(sized).alias("no", "l")).select("doc_id", *keep, "no", "l.line", "l.start")
 
 
@@ -76,15 +71,9 @@ def matches(docs: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, no, start, length) of all hits, by code points from zero."""
     gaps, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     near = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h"))
-    placed = F.aggregate(
-        near,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["h"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), F.length(x["h"]).alias("length")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    width = lambda x: F.length(x["g"]) + F.length(x["h"])
+    make = lambda at, x: F.struct((at + F.length(x["g"])).alias("start"), F.length(x["h"]).alias("length"))
+    placed = with_starts(near, width, make, "struct<start:int,length:int>")
     rows = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.posexplode(placed).alias("no", "m"))
     return rows.select("doc_id", "no", "m.start", "m.length")
 
