@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, with_starts
 from .storage import staged
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -43,24 +44,20 @@ def _located(text: Column, pattern: str, possible: Column) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     row = "struct<start:int,end:int,hit:string,before:string,after:string>"
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{row}>").alias("out"))
 
-    def take(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["before"])
-        end = start + F.length(x["hit"])
-        this = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(this)).alias("out"))
-
-    def placed(both: Column) -> Column:
+    def near(both: Column) -> Column:
         n = F.size(both["hits"])
-        near = F.arrays_zip(
+        return F.arrays_zip(
             F.slice(both["gaps"], F.lit(1), n).alias("before"), both["hits"].alias("hit"), F.slice(both["gaps"], F.lit(2), n).alias("after")
         )
-        return F.aggregate(near, state, take, lambda s: s["out"])
 
-    # A one-element array binds the two lists once.
-    bound = F.transform(F.array(F.struct(hits.alias("hits"), gaps.alias("gaps"))), placed)[0]
-    return F.when(possible, bound).otherwise(F.array().cast(f"array<{row}>"))
+    def make(at: Column, x: Column) -> Column:
+        start = at + F.length(x["before"])
+        return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
+
+    items = bound(F.struct(hits.alias("hits"), gaps.alias("gaps")), near)
+    placed = with_starts(items, lambda x: F.length(x["before"]) + F.length(x["hit"]), make, row)
+    return F.when(possible, placed).otherwise(F.array().cast(f"array<{row}>"))
 
 
 def _digits(text: Column) -> Column:
@@ -103,7 +100,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Tokens that look like identifiers: (start, end, instance, left, right, seed)."""
+    """Tokens that look like identifiers or begin a base span: (start, end, instance, left, right, seed); the instance of a seed is its span."""
     word = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}=:#]", ""))
 
     def shape(x: Column) -> Column:
@@ -120,14 +117,16 @@ def _candidates(text: Column, base: Column) -> Column:
 
     def judged(x: Column) -> Column:
         over = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        first = F.get(over, F.lit(0))
+        seed = F.substring(text, first["start"] + 1, first["end"] - first["start"])
         return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), x["left"].alias("left"), x["right"].alias("right"),
-            (F.size(over) > 0).alias("seed"), F.exists(over, lambda b: b["start"] < x["start"]).alias("inside"),
+            x["start"].alias("start"), x["end"].alias("end"), F.coalesce(seed, x["instance"]).alias("instance"), x["left"].alias("left"), x["right"].alias("right"),
+            seed.isNotNull().alias("seed"), F.exists(over, lambda b: b["start"] < x["start"]).alias("inside"),
         )
 
     plain = F.filter(
         F.transform(_located(text, TOKEN, F.lit(True)), shape),
-        lambda x: (F.length(x["instance"]) >= 6) & ((F.length(_digits(x["instance"])) >= 4) | F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
+        lambda x: ((F.length(x["instance"]) >= 6) & (F.length(_digits(x["instance"])) >= 4)) | F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
     return F.filter(F.transform(plain, judged), lambda x: ~x["inside"])
 

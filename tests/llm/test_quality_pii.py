@@ -121,8 +121,9 @@ def slow_bootstrap(texts):
             skip = len(re.match(r"[^\w+]*", text[a:b])[0])
             s, e = a + skip, a + skip + len(core)
             over = [x for x in spans if x[0] < e and s < x[2]]
-            if len(core) < 6 or (len(re.sub("[^0-9]", "", core)) < 4 and not over) or any(x[0] < s for x in over):
+            if not over and (len(core) < 6 or len(re.sub("[^0-9]", "", core)) < 4) or any(x[0] < s for x in over):
                 continue
+            core = text[over[0][0] : over[0][2]] if over else core
             word = lambda w: re.sub(r"[^a-z=:#]", "", w.lower())
             before, after = text[toks[i - 1][1] if i else 0 : a], text[b : toks[i + 1][0] if i + 1 < len(toks) else len(text)]
             left, right = word((before.split() or [""])[-1]), word((after.split() or [""])[0])
