@@ -16,6 +16,7 @@ import numpy as np
 REMEMBERED = 1_500_000
 
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
+_ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # Letters whose class all libraries agree on and that stay letters in lower case, up to a sign that always ends a piece (not the apostrophe of "'s").
 _LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+(?=[!-&(-/:-@\[-`{-~\s]|\Z)"
 _PIECES = {
@@ -37,10 +38,22 @@ class PieceEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.pieces, self.between = _PIECES[splits], _BETWEEN[splits]
+        self.cut, self.between = _PIECES[splits], _BETWEEN[splits]
+        # ASCII texts whose tokenizer lower-cases them have fewer pieces when that is done first.
+        self.lower = self.lib.encode("A", add_special_tokens=False).ids == self.lib.encode("a", add_special_tokens=False).ids
         self.mark = self.lib.encode(self.between, add_special_tokens=False).ids[0]
         self.memory: dict[str, bytes] = {}
 
+    def pieces(self, text: str | None) -> list[str] | None:
+        """The pieces of a text, or None if it is empty or must go to the library whole."""
+        if not text:
+            return None
+        if text.isascii():
+            if any(sign in text for sign in _ODD_ASCII):
+                return None
+            return self.cut(text.lower() if self.lower else text)
+        return None if _ODD.search(text) else self.cut(text)
+
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -64,11 +77,11 @@ class PieceEncoder:
         out: list[bytes] = []
         memory = self.memory
         for a in range(0, len(texts), 64):
-            some = [None if not t or _ODD.search(t) else self.pieces(t) for t in texts[a : a + 64]]
-            fresh = {p for pieces in some if pieces for p in pieces}.difference(memory)
+            some = [self.pieces(t) for t in texts[a : a + 64]]
+            fresh = set().union(*filter(None, some)).difference(memory)
             if len(memory) + len(fresh) > REMEMBERED:
                 memory.clear()
-                fresh = {p for pieces in some if pieces for p in pieces}
+                fresh = set().union(*filter(None, some))
             if fresh:
                 self._learn(list(fresh))
             for text, pieces in zip(texts[a : a + 64], some):
