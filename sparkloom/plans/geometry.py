@@ -12,7 +12,7 @@ from ..sources.tables import table
 from .registry import query
 
 LAID_SQL = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-g AS (SELECT doc_id, no, text, CAST(no * 13 + 40 * (no // 7) AS DOUBLE) AS oy, CASE WHEN no % 5 = 0 THEN 14.0 ELSE 10.0 END AS size FROM l),
+g AS (SELECT doc_id, no, text, CAST(no * 13 + 40 * (no // 7) AS DOUBLE) AS oy, CAST(CASE WHEN no % 5 = 0 THEN 14 ELSE 10 END AS DOUBLE) AS size FROM l),
 c AS (SELECT *, CASE WHEN lag(no) OVER w IS NOT NULL AND (greatest(size, lag(size) OVER w) / least(size, lag(size) OVER w) > 1.25 OR oy - lag(oy) OVER w > 2 * greatest(size, lag(size) OVER w)
   OR regexp_matches(text, '^\\s*(?:[•·◦▪–—*-]|\\d{1,3}[.)])\\s')) THEN 1 ELSE 0 END AS cut FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
 p AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY doc_id ORDER BY no) AS BIGINT) AS paragraph FROM c)"""
