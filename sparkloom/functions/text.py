@@ -229,3 +229,64 @@ def latin_language(text: Column, words: dict[str, list[str]], share: float = 0.0
     scored = F.array_sort(F.array(*(F.struct((-share_of(k)).alias("s"), F.lit(k).alias("lang")) for k in sorted(words))))
     best, second = -scored[0]["s"], -scored[1]["s"]
     return F.when((F.size(found) >= 30) & (best >= share) & (best >= second * ahead), scored[0]["lang"])
+
+
+#: Named characters (fixed values).
+ENTITIES = {"nbsp": "\u00a0", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def entities_decoded(text: Column) -> Column:
+    """Numeric and common named characters; numbers that XML doesn't allow are left out, unknown names stay."""
+    parts, codes = F.split(text, "(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});", -1), F.regexp_extract_all(text, F.lit("(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(1))
+
+    def sign(c: Column) -> Column:
+        n = F.when(F.lower(c).startswith("x"), F.conv(F.substring(c, 2, 6), 16, 10)).otherwise(c).cast("int")
+        legal = n.isin(9, 10, 13) | n.between(32, 0xD7FF) | n.between(0xE000, 0xFFFD) | n.between(0x10000, 0x10FFFF)
+        # A code point as four bytes of UTF-32.
+        return F.when(legal, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
+
+    done = F.array_join(F.flatten(F.zip_with(parts, F.concat(F.transform(codes, sign), F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
+    for name, char in ENTITIES.items():
+        done = F.replace(done, F.lit(f"&{name};"), F.lit(char))
+    return F.replace(done, F.lit("&amp;"), F.lit("&"))
+
+
+def resolved_path(base: Column, href: Column) -> Column:
+    """A link inside a package as a path from its root; what goes above the root is cut off."""
+    folder = F.regexp_replace(base, "[^/]*$", "")
+    parts = F.split(F.concat(folder, F.try_url_decode(F.replace(F.regexp_replace(href, "#.*$", ""), F.lit("+"), F.lit("%2B")))), "/")
+    step = lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(p.isin("", "."), a).otherwise(F.concat(a, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def latex_cleaned(text: Column) -> Column:
+    """A formula without code fences, display brackets, dollar signs and one-line environments around it."""
+    out = F.trim(text)
+    for pattern in (
+        "(?i)^```[a-z]*\\s*|\\s*```$", "^\\\\\\[\\s*|\\s*\\\\\\]$", "^\\\\\\(\\s*|\\s*\\\\\\)$", "^\\$\\$?\\s*|\\s*\\$\\$?$",
+        "^\\\\begin\\{(?:equation|displaymath|align)\\*?\\}\\s*|\\s*\\\\end\\{(?:equation|displaymath|align)\\*?\\}$",
+    ):
+        out = F.regexp_replace(out, pattern, "")
+    return F.trim(out)
+
+
+def script_json(value: Column) -> Column:
+    """JSON text that may stand inside a script element."""
+    for sign, code in (("<", "\\u003c"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        value = F.replace(value, F.lit(sign), F.lit(code))
+    return value
+
+
+#: Windows-1252 differs from ISO-8859-1 in these characters.
+_WESTERN = tuple("".join(x) for x in zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
+
+
+def decoded(content: Column) -> Column:
+    """Text of a file: by its byte order mark, else UTF-8, else Windows-1252."""
+    head = F.hex(F.substring(content, 1, 3))
+    rest = lambda n: F.substring(content, F.lit(n), F.length(content))
+    return (
+        F.when(head == "EFBBBF", rest(4).cast("string")).when(head.startswith("FFFE"), F.decode(rest(3), "UTF-16LE"))
+        .when(head.startswith("FEFF"), F.decode(rest(3), "UTF-16BE")).when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+        .otherwise(F.translate(F.decode(content, "ISO-8859-1"), *_WESTERN))
+    )

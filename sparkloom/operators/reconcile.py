@@ -185,3 +185,28 @@ def marker_issues(source: Column, target: Column) -> Column:
     closes = F.transform(F.filter(b, lambda t: t.rlike("^</")), lambda t: F.replace(t, F.lit("/"), F.lit("")))
     lone = F.size(F.array_except(opens, closes)) + F.size(F.array_except(closes, opens))
     return F.struct(F.size(F.array_except(a, b)).alias("missing"), (F.size(F.array_except(b, a)) + lone).alias("broken"))
+
+
+def overridden(rows: DataFrame, overrides: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a user's values (by id) in place of detected ones where they are not null."""
+    named = overrides.select("id", *(F.col(c).alias(f"_{c}") for c in columns))
+    both = rows.join(named, "id", "left")
+    return both.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))
+
+
+def kinds(segments: DataFrame, chosen: DataFrame) -> DataFrame:
+    """skip and formula as a user has chosen (kind 'formula' or 'text' by id), else as detected."""
+    both = segments.join(chosen.select("id", "kind"), "id", "left")
+    pick = lambda c: F.when(F.col("kind") == "formula", True).when(F.col("kind") == "text", False).otherwise(F.col(c))
+    return both.withColumns({"skip": pick("skip"), "formula": pick("formula")}).drop("kind")
+
+
+def unread_formulas(groups: DataFrame, latex: DataFrame) -> DataFrame:
+    """Leads of formula groups without LaTeX."""
+    return groups.select(F.col("lead").alias("id")).distinct().join(latex.where("trim(latex) <> ''").select("id"), "id", "left_anti")
+
+
+def done_count(segments: DataFrame, targets: DataFrame, kept: DataFrame, *by: str) -> DataFrame:
+    """Segments with a target or kept as they are, by the given columns."""
+    both = segments.join(targets.select("id", "target"), "id", "left").join(kept.select("id", F.lit(True).alias("_k")).distinct(), "id", "left")
+    return both.groupBy(*by).agg(F.count_if(F.coalesce("_k", F.lit(False)) | (F.coalesce(F.trim("target"), F.lit("")) != "")).alias("done"))

@@ -247,3 +247,57 @@ def read_any(files: DataFrame) -> DataFrame:
         part = read(sorted_.where(F.col("kind") == name).select("file", "text"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def read_markers_inline(files: DataFrame) -> DataFrame:
+    """(file, id, target) of marked texts whose markers may stand inside a line.
+
+    A marker has three brackets or more of one kind that close as they open, and may be bold. Inside a line it counts only if
+    ids go up. Markdown escapes are undone where a marker is escaped.
+    """
+    opens, closes = "[［【〔(（<«", "]］】〕)）>»"
+    kinds = "|".join(f"\\{o}{{{{{a}}}}}\\s*#?\\s*({_DIGIT}+)\\s*\\{c}{{{{{b}}}}}" for o, c in zip(opens, closes) for a, b in ((2, 2), (2, 1), (1, 2)))
+    kinds = kinds.replace("{{", "{").replace("}}", "}")
+    marker = f"(?:\\*\\*)?(?:{kinds})(?:\\*\\*)?"
+    clean = F.regexp_replace("text", "\\r\\n?", "\n")
+    clean = F.when(clean.rlike(f"\\\\\\[\\s*(?:\\\\?\\[)?\\s*{_DIGIT}+\\s*\\\\?\\]"), F.regexp_replace(clean, "\\\\([\\\\`*_{}\\[\\]()#+.!|~<>-])", "$1")).otherwise(clean)
+    gaps, hits = F.split("c", marker, -1), F.regexp_extract_all("c", F.lit(marker), F.lit(0))
+    rows = files.select("file", clean.alias("c")).select("file", gaps.alias("g"), hits.alias("h"))
+    number = lambda x: ascii_digits(F.regexp_replace(x, "[^\\p{Nd}]", "")).try_cast("long")
+    item = "struct<id:bigint,target:string>"
+    state = F.struct(F.lit(None).cast("long").alias("id"), F.lit("").alias("buf"), F.lit("").alias("line"), F.array().cast(f"array<{item}>").alias("out"))
+    tail = lambda line, x: F.when(x.contains("\n"), F.regexp_extract(x, "([^\\n]*)\\z", 1)).otherwise(F.concat(line, x))
+
+    def flushed(s: Column) -> Column:
+        keep = s["id"].isNotNull() & (_stripped(s["buf"]) != "")
+        return F.when(keep, F.concat(s["out"], F.array(F.struct(s["id"].alias("id"), _stripped(s["buf"]).alias("target"))))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        no = number(x["h"])
+        take = (F.trim(s["line"]) == "") | s["id"].isNull() | (no > s["id"])
+        new = F.struct(no.alias("id"), x["g"].alias("buf"), tail(F.lit("x"), x["g"]).alias("line"), flushed(s).alias("out"))
+        more = F.struct(s["id"].alias("id"), F.concat(s["buf"], x["h"], x["g"]).alias("buf"), tail(F.concat(s["line"], x["h"]), x["g"]).alias("line"), s["out"].alias("out"))
+        return F.when(take, new).otherwise(more)
+
+    first = F.struct(F.lit(None).cast("long").alias("id"), F.lit("").alias("buf"), tail(F.lit(""), F.get("g", F.lit(0))).alias("line"), state["out"].alias("out"))
+    near = F.arrays_zip(F.col("h").alias("h"), F.slice("g", F.lit(2), F.size("h")).alias("g"))
+    got = rows.select("file", F.posexplode(F.aggregate(near, first, step, flushed)).alias("ord", "s")).select("file", "ord", "s.*")
+    return got.groupBy("file", "id").agg(F.max_by("target", "ord").alias("target"))
+
+
+def backup(vocabulary: DataFrame) -> DataFrame:
+    """One JSON text per pair of a vocabulary, in an envelope with kind and version."""
+    rows = F.array_sort(F.collect_list(F.struct(*sorted(c for c in vocabulary.columns if c != "pair"))))
+    own = vocabulary.groupBy("pair").agg(rows.alias("rows"))
+    return own.select("pair", F.to_json(F.struct(F.lit("vocabulary").alias("kind"), F.lit(1).alias("version"), "pair", "rows")).alias("text"))
+
+
+def read_backup(files: DataFrame, schema: str) -> DataFrame:
+    """Vocabulary rows of backup texts, given the vocabulary's schema; anything else gives none."""
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema)
+    inner = StructType([f for f in fields if f.name != "pair"]).simpleString()
+    parsed = F.from_json("text", f"struct<kind:string,version:int,pair:string,rows:array<{inner}>>")
+    good = files.select(parsed.alias("p")).where("p.kind = 'vocabulary' and p.version = 1")
+    return good.select("p.pair", F.inline("p.rows")).select(fields.names)
