@@ -133,15 +133,17 @@ def _candidates(text: Column, base: Column) -> Column:
 
 def _scored(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confidence of patterns and belief in instances after all rounds over (pattern, instance, seed)."""
-    belief = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
+    belief = staged(graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief")), "belief")
     pattern = None
     for _ in range(ROUNDS):
-        pattern = (
+        # Written first, so that the joins have exchanges of their own, which Spark can split at a pattern beside very many instances.
+        pattern = staged(
             graph.join(belief, "instance")
             .groupBy("pattern")
             .agg(F.sum("belief").alias("sum"), F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
             .where(F.col("seeds") >= SUPPORT)
-            .select("pattern", (F.col("sum") / F.col("n")).alias("confidence"))
+            .select("pattern", (F.col("sum") / F.col("n")).alias("confidence")),
+            "patterns",
         )
         doubt = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
         belief = staged(
