@@ -32,6 +32,8 @@ DOCUMENTS = 1024
 ATTENTION = TOKENS * TOKENS
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP = 8192
+#: Pieces that a worker remembers; fewer than the tokenizer's own bound, as other stages share the worker.
+REMEMBERED = 400_000
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -46,12 +48,12 @@ def pieces(docs: DataFrame, path: str, end: int = 2, size: int = TOKENS, splits:
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, splits)
+        enc = encoder(path, splits, REMEMBERED)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts):
                 rows = []
-                for key, ids in zip(keys[a:b], enc.encode(texts[a:b])):
+                for key, ids in zip(keys[a:b], enc.encode(texts.slice(a, b - a).to_pylist())):
                     ids += tail
                     for no, (start, length) in enumerate(cut(len(ids) // 4, size)):
                         part = ids[4 * start : 4 * (start + length)]

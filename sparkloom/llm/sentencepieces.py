@@ -235,9 +235,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
-                ids = pa.array([auto.encode(t) for t in texts[a:b]], pa.binary())
+                ids = pa.array([auto.encode(t) for t in texts.slice(a, b - a).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")

@@ -145,9 +145,9 @@ def tokenised(docs: DataFrame, path: str, end: int = 2, splits: str = "word") ->
         kind = id_type(enc.lib.get_vocab_size())
         total = np.zeros(max(enc.lib.get_vocab_size(), end + 1), np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts):
-                ids = [x + tail for x in enc.encode(texts[a:b])]
+                ids = [x + tail for x in enc.encode(texts.slice(a, b - a).to_pylist())]
                 flat = np.frombuffer(b"".join(ids), "<u4")
                 total += np.bincount(flat, minlength=len(total))
                 ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // (4 // kind.itemsize)

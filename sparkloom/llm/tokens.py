@@ -33,7 +33,7 @@ _TOGETHER = 100
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, splits: str) -> None:
+    def __init__(self, path: str, splits: str, remembered: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -43,6 +43,7 @@ class PieceEncoder:
         self.lower = self.lib.encode("A", add_special_tokens=False).ids == self.lib.encode("a", add_special_tokens=False).ids
         self.mark = self.lib.encode(self.between, add_special_tokens=False).ids[0]
         self.memory: dict[str, bytes] = {}
+        self.remembered = remembered or REMEMBERED
 
     def pieces(self, text: str | None) -> list[str] | None:
         """The pieces of a text, or None if it is empty or must go to the library whole."""
@@ -79,7 +80,7 @@ class PieceEncoder:
         for a in range(0, len(texts), 64):
             some = [self.pieces(t) for t in texts[a : a + 64]]
             fresh = set().union(*filter(None, some)).difference(memory)
-            if len(memory) + len(fresh) > REMEMBERED:
+            if len(memory) + len(fresh) > self.remembered:
                 memory.clear()
                 fresh = set().union(*filter(None, some))
             if fresh:
@@ -92,10 +93,10 @@ class PieceEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, splits: str) -> PieceEncoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, splits: str, remembered: int | None = None) -> PieceEncoder:
     """One encoder for each Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceEncoder(path, splits)
+    return PieceEncoder(path, splits, remembered)
