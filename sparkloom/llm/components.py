@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from .storage import discard, staged
 
 
+#: Parts that a node's links are joined in.
+SALTS = 16
+
+
 def _stars(sym: DataFrame) -> DataFrame:
-    low = sym.groupBy("u").agg(F.min("v").alias("m"))
-    return sym.join(low, "u")
+    """Adds to each link (u, v) the smallest v of u; a hub's links are joined in parts."""
+    salted = sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    low = salted.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(F.expr("shiftleft(1, salt)")).alias("used"))
+    parts = F.filter(F.array(*map(F.lit, range(SALTS))), lambda i: F.bit_get("used", i) == 1)
+    return salted.join(low.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
 
 
 def _settled(state: DataFrame) -> bool:

@@ -151,6 +151,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     )
     reps = staged(reps, "representatives")
     tiles = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    tiles = staged(tiles, "tiles")
     dealt = reps.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod("k1", "tiles").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "size", "x"

@@ -177,7 +177,7 @@ def _mixed(crowd: DataFrame, comp: DataFrame) -> DataFrame:
     """(bucket, rep, lead, component, n) of the buckets with more than one component; n counts a bucket's rows."""
     placed = crowd.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "lead", F.coalesce("component", "rep").alias("component"))
     many = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
-    return placed.join(many.select("bucket", "n"), "bucket")
+    return placed.join(staged(many.select("bucket", "n"), "mixed-buckets"), "bucket")
 
 
 def _block_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -286,9 +286,11 @@ def near_duplicates(
     """
     sig = staged(signatures(docs, k, bands, rows), "signatures")
     classes = sig.where("doc_id is not null and bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # A sum that is written first joins by an exchange of its own, which Spark can split where one key has very many rows.
+    classes = staged(classes, "class-names")
     member = staged(sig.join(classes, ["k1", "k2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
     row = member.where("bands is not null").select("rep", F.explode("bands").alias("bucket"))
-    ends = row.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
+    ends = staged(row.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last"), "bucket-ends")
     crowd = staged(row.join(ends.select("bucket", "lead"), "bucket").select("bucket", "rep", "lead").distinct(), "buckets")
     nodes = crowd.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
