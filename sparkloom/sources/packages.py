@@ -130,20 +130,16 @@ def fb2(content: bytes) -> Iterator[tuple[str, str, str, bool]]:
 
 def apkg(content: bytes) -> Iterator[tuple[str, str, str, str]]:
     """(term, translation, example, example_tr) of a card deck's notes, by the names of their fields."""
-    import tempfile
-
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         name = next(n for n in ("collection.anki21", "collection.anki2") if n in z.namelist())
-        # SQLite opens files only; the file is gone before the task ends.
-        with tempfile.NamedTemporaryFile(suffix=".db") as f:
-            f.write(z.read(name))
-            f.flush()
-            db = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
-            try:
-                models = json.loads(db.execute("select models from col").fetchone()[0] or "{}")
-                notes = db.execute("select mid, flds from notes order by id").fetchall()
-            finally:
-                db.close()
+        data = z.read(name)
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(data)
+        models = json.loads(db.execute("select models from col").fetchone()[0] or "{}")
+        notes = db.execute("select mid, flds from notes order by id").fetchall()
+    finally:
+        db.close()
     for mid, fields in notes:
         names = [f["name"].lower() for f in models.get(str(mid), {}).get("flds", [])]
         values = [" ".join(t for _, t in blocks(v)) if "<" in v else v.strip() for v in fields.split("\x1f")]
