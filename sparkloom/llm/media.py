@@ -131,13 +131,15 @@ def _exceptions(index: DataFrame) -> DataFrame:
     shared: (chunk number, whether this row stores it).
     """
     owner = index.groupBy("sha").agg(F.min("k").alias("owner_k"), F.count("*").alias("n"))
-    several = owner.where("n > 1").select("sha", "owner_k")
+    # Sums that are written first join by an exchange of their own, which Spark can split where one key has very many rows.
+    several = staged(owner.where("n > 1").select("sha", "owner_k"), "media-copies")
     roles = index.select("k", "h", "sha").join(several, "sha", "left").withColumn("owner", F.coalesce(F.col("k") == F.col("owner_k"), F.lit(True)))
     roles = roles.select("k", "h", "owner")
     copies = roles.where("not owner").select("k", "h").distinct()
     lists = index.select("k", "h", F.posexplode("digests").alias("no", "digest"))
     held = lists.join(copies, _KEY, "left_anti")
-    common = held.groupBy("digest").agg(F.min("k").alias("keeper"), F.max("k").alias("other")).where("keeper < other").select("digest", "keeper")
+    common = held.groupBy("digest").agg(F.min("k").alias("keeper"), F.max("k").alias("other")).where("keeper < other")
+    common = staged(common.select("digest", "keeper"), "media-common")
     shared = (
         held.join(common, "digest")
         .select("k", "h", F.struct("no", (F.col("k") == F.col("keeper")).alias("mine")).alias("s"))
@@ -242,7 +244,7 @@ def load(chunk_store: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """One row per document, described from the bytes read back."""
     index, chunk_store = store(docs)
-    media = staged(load(chunk_store), "media").dropDuplicates(["sha"])
+    media = staged(load(chunk_store).dropDuplicates(["sha"]), "media")
     rows = index.select("k", "sha", "n_bytes").join(media, "sha")
     least = -(1 << 63)
     return rows.select(F.when(F.col("k") != least, F.col("k")).alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
