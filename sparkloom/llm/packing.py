@@ -33,7 +33,7 @@ ATTENTION = TOKENS * TOKENS
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP = 8192
 #: Pieces that a worker remembers; fewer than the tokenizer's own bound, as other stages share the worker.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -69,28 +69,36 @@ def pieces(docs: DataFrame, path: str, end: int = 2, size: int = TOKENS, splits:
 def best_fit(size: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> np.ndarray:
     """Bin of each item; ``size`` is items x dimensions, taken in the given order, ``capacity`` one bin's."""
     w = weights / capacity**2
-    left = np.zeros((64, len(capacity)))
+    # A row for each capacity, a column for each open bin, oldest first.
+    left = np.zeros((len(capacity), 64))
     number = np.zeros(64, np.int64)
     open_, bins = 0, 0
     out = np.empty(len(size), np.int64)
     for i, item in enumerate(size):
-        rest = left[:open_] - item
-        fits = np.flatnonzero((rest >= 0).all(axis=1))
+        now = left[:, :open_]
+        able = now[0] >= item[0]
+        for d in range(1, len(capacity)):
+            able &= now[d] >= item[d]
+        fits = np.flatnonzero(able)
         if len(fits):
-            r = rest[fits]
-            score = (r * r) @ w if rule == "norm" else -(left[:open_][fits] * item) @ w
+            r = now[:, fits]
+            if rule == "norm":
+                r = r - item[:, None]
+                score = w @ (r * r)
+            else:
+                score = -(w * item) @ r
             at = fits[np.argmin(score)]
         else:
-            if open_ == len(left):
-                left, number = np.concatenate((left, np.zeros_like(left))), np.concatenate((number, np.zeros_like(number)))
+            if open_ == left.shape[1]:
+                left, number = np.concatenate((left, np.zeros_like(left)), axis=1), np.concatenate((number, np.zeros_like(number)))
             at = open_
-            left[at], number[at] = capacity, bins
+            left[:, at], number[at] = capacity, bins
             open_, bins = open_ + 1, bins + 1
         out[i] = number[at]
-        left[at] -= item
-        if left[at, 0] < 1 or left[at, 1] < 1 or left[at, 2] < 1:
-            # Full: no piece has less than one token, document and unit of cost. Bins stay in order of age.
-            left[at : open_ - 1], number[at : open_ - 1] = left[at + 1 : open_].copy(), number[at + 1 : open_].copy()
+        left[:, at] -= item
+        if (left[:, at] < 1).any():
+            # Full: no piece has less than one token, document and unit of cost.
+            left[:, at : open_ - 1], number[at : open_ - 1] = left[:, at + 1 : open_].copy(), number[at + 1 : open_].copy()
             open_ -= 1
     return out
 
