@@ -1,9 +1,10 @@
 """Licence scan by conditional compression.
 
-Lines with a cue word, and short lines between them, are candidate blocks. Each block is compressed
-alone and with each template as zstandard raw dictionary; templates are ranked by how much smaller
-the block gets. The leaders are then aligned with the block word by word, and the best is confirmed if it
-has nearly all of the template's words in order; its exact differences are returned.
+Lines with a cue word, and short lines between them, are candidate blocks. Each block is aligned word by
+word with the templates that it has enough words of. The passage that an alignment spans is compressed alone
+and with the template as zstandard raw dictionary: how much smaller it gets does not depend on the words around it. The best
+template is confirmed if the passage gets smaller and has nearly all of the template's words in order; its
+exact differences are returned.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned each; a block is
 named by code points, the end exclusive.
@@ -12,6 +13,7 @@ named by code points, the end exclusive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 #: long line, and those kept around a cue in a long line.
 CUE = r"(?i)licen[sc]e|copyright|\bspdx\b|\bcc[ -]by|\bcc0\b|creative commons|public domain|permission is hereby|redistribution and use|as is"
 GAP, SHORT, LONG, AROUND = 3, 200, 120, 60
-#: Templates that are aligned; least share of a template's words found in order; least size reduction.
-LEADERS, WORDING, REDUCTION = 4, 0.85, 0.15
+#: Least share of a template's words found in order; least size reduction of the passage.
+WORDING, REDUCTION = 0.85, 0.15
 
 # Wordings of licences and of the short notices that name them.
 TEMPLATES = {
@@ -88,17 +90,35 @@ def blocks(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def passage(template: list[str], block: list[str]) -> tuple[int, int] | None:
+    """(first, last) of the block's words that an alignment with the template spans, the end exclusive."""
+    same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    if not same:
+        return None
+    # A word far from the others may be there by chance: of the runs with enough words, the one with the least put in between.
+    best = None
+    for i, m in enumerate(same):
+        found = 0
+        for n in same[i:]:
+            found += n.size
+            score = 3 * found - (n.b + n.size - m.b)
+            if found >= WORDING * len(template) and (best is None or score > best[0]):
+                best = score, m.b, n.b + n.size
+    return best[1:] if best else (same[0].b, same[-1].b + same[-1].size)
+
+
+def compared(template: list[str], part: list[str]) -> tuple[float, str, list[int]]:
+    """Share of the template's words found in order, what is missing (-) or put in between (+), and the places found."""
+    ops = SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
+    found = [i for op, _, _, c, d in ops if op == "equal" for i in range(c, d)]
+    said = [f"{s}{w}" for op, a, b, c, d in ops if op != "equal" for s, words in (("-", template[a:b]), ("+", part[c:d])) for w in words]
+    return len(found) / len(template), " ".join(said), found
+
+
 def differences(template: list[str], block: list[str]) -> tuple[float, str]:
     """Share of the template's words found in order, and what is missing (-) or put in between (+)."""
-    match = SequenceMatcher(None, template, block, autojunk=False)
-    same = [m for m in match.get_matching_blocks() if m.size]
-    if not same:
-        return 0.0, ""
-    first, last = same[0].b, same[-1].b + same[-1].size
-    ops = SequenceMatcher(None, template, block[first:last], autojunk=False).get_opcodes()
-    found = sum(b - a for op, a, b, *_ in ops if op == "equal")
-    said = [f"{s}{w}" for op, a, b, c, d in ops if op != "equal" for s, part in (("-", template[a:b]), ("+", block[first + c : first + d])) for w in part]
-    return found / len(template), " ".join(said)
+    at = passage(template, block)
+    return compared(template, block[slice(*at)])[:2] if at else (0.0, "")
 
 
 class Scanner:
@@ -106,26 +126,31 @@ class Scanner:
         import zstandard as z
 
         self.words = {k: words(t) for k, t in templates.items()}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.alone = z.ZstdCompressor(level=9, write_content_size=False)
         self.given = {}
         for k, w in self.words.items():
             known = z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
             self.given[k] = z.ZstdCompressor(level=9, dict_data=known, write_content_size=False)
 
-    def ranked(self, block: list[str]) -> list[tuple[float, str]]:
-        """(size reduction, template), greatest first."""
-        raw = " ".join(block).encode()
-        plain = len(self.alone.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / plain, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def reduction(self, name: str, part: list[str]) -> float:
+        """How much smaller the passage gets by the template."""
+        raw = " ".join(part).encode()
+        return 1 - len(self.given[name].compress(raw)) / len(self.alone.compress(raw))
 
     def confirmed(self, block: list[str]) -> tuple[str, float, float, str] | None:
         """(template, reduction, wording, differences) of the block's licence."""
-        best = None
-        for reduction, name in self.ranked(block)[:LEADERS]:
-            wording, said = differences(self.words[name], block)
+        best, have = None, Counter(block)
+        for name, template in self.words.items():
+            # No alignment finds more words than the block has of the template's.
+            if (have & self.counts[name]).total() < WORDING * len(template):
+                continue
+            first, last = passage(template, block)
+            reduction = self.reduction(name, block[first:last])
+            wording, said, _ = compared(template, block[first:last])
             if reduction >= REDUCTION and wording >= WORDING:
                 # All of a longer wording says more than all of a shorter one.
-                key = (round(wording * len(self.words[name])) - len(said.split()), reduction)
+                key = (round(wording * len(template)) - len(said.split()), reduction)
                 if best is None or key > best[0]:
                     best = key, (name, reduction, wording, said)
         return best and best[1]

@@ -128,6 +128,19 @@ def test_wording_decides(spark):
     assert "+price" in got[1].differences and "-free" in got[1].differences and got[2].differences == ""
 
 
+@pytest.mark.parametrize("n", [30, 40, 100, 400])
+def test_notices_among_prose(spark, n):
+    """The words around a notice don't hide it, on a line with it or on lines of their own."""
+    prose = [w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(40).collect() if not licenses._CUE.search(r.text) for w in r.text.split()]
+    texts, want = {}, set()
+    for i, k in enumerate(k for k in licenses.TEMPLATES if k.endswith("(notice)")):
+        a, b = prose[i * 900 :][:n], prose[i * 900 + 450 :][:n]
+        texts[i] = " ".join([*a, licenses.TEMPLATES[k], *b])
+        want.add((i, k))
+    df = spark.createDataFrame([(k, t, "", "", 0) for k, t in texts.items()], DOCS)
+    assert {(r.doc_id, r.license) for r in licenses.scan(df).collect()} == want
+
+
 def test_license_awkward_rows(docs, none):
     assert licenses.scan(docs).count() == 0 and licenses.scan(none).count() == 0
 
