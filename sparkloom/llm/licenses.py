@@ -1,6 +1,6 @@
 """Licence scan by conditional compression.
 
-Lines with a cue word, and short lines between them, are candidate blocks. Each block is aligned word by
+Cue words with the words around them, as many as the wordings are long, are candidate blocks. Each block is aligned word by
 word with the templates that it has enough words of. The passage that an alignment spans is compressed alone
 and with the template as zstandard raw dictionary: how much smaller it gets does not depend on the words around it. The best
 template is confirmed if the passage gets smaller and has nearly all of the template's words in order; its
@@ -13,6 +13,7 @@ named by code points, the end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -21,10 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a block must have; lines between two cue lines that belong to the block, and their greatest length; words of a
-#: long line, and those kept around a cue in a long line.
-CUE = r"(?i)licen[sc]e|copyright|\bspdx\b|\bcc[ -]by|\bcc0\b|creative commons|public domain|permission is hereby|redistribution and use|as is"
-GAP, SHORT, LONG, AROUND = 3, 200, 120, 60
+#: Words that a block must have, also across the ends of lines.
+CUE = r"(?i)licen[sc]e|copyright|\bspdx\b|\bcc[ -]by|\bcc0\b|creative\W+commons|public\W+domain|permission\W+is\W+hereby|redistribution\W+and\W+use|as\W+is"
 #: Least share of a template's words found in order; least size reduction of the passage.
 WORDING, REDUCTION = 0.85, 0.15
 
@@ -55,7 +54,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
-_WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*").findall
+_PATTERN = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+_WORD, _WORDS = _PATTERN.findall, _PATTERN.finditer
 _CUE = re.compile(CUE)
 
 
@@ -63,30 +63,23 @@ def words(text: str) -> list[str]:
     return _WORD(text.lower())
 
 
-def blocks(text: str | None) -> list[tuple[int, int]]:
+#: Words kept on each side of a cue: twice the longest wording, as there may be others in between.
+REACH = 2 * max(len(words(t)) for t in TEMPLATES.values())
+
+
+def blocks(text: str | None, reach: int = REACH) -> list[tuple[int, int]]:
     """(start, end) of the candidate blocks, in order."""
     if not text or not _CUE.search(text):
         return []
+    starts, ends = zip(*((m.start(), m.end()) for m in _WORDS(text)))
     out: list[tuple[int, int]] = []
-    at, since = 0, GAP + 1
-    for line in text.split("\n"):
-        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", line)] if _CUE.search(line) else None
-        if tokens is None:
-            since += 1 if len(line) <= SHORT else GAP + 1
-        elif len(tokens) <= LONG:
-            joins = out and since <= GAP and at - out[-1][1] <= 2000
-            out[-1:] = [(out[-1][0], at + len(line))] if joins else [*out[-1:], (at, at + len(line))]
-            since = 0
+    for m in _CUE.finditer(text):
+        lo = starts[max(bisect_right(starts, m.start()) - 1 - reach, 0)]
+        hi = ends[min(bisect_left(ends, m.end()) + reach, len(ends) - 1)]
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
-            for m in _CUE.finditer(line):
-                i = next(k for k, (a, b) in enumerate(tokens) if b > m.start())
-                lo, hi = at + tokens[max(i - AROUND, 0)][0], at + tokens[min(i + AROUND, len(tokens) - 1)][1]
-                if out and lo <= out[-1][1]:
-                    out[-1] = (out[-1][0], max(hi, out[-1][1]))
-                else:
-                    out.append((lo, hi))
-            since = GAP + 1
-        at += len(line) + 1
+            out.append((lo, hi))
     return out
 
 
@@ -162,6 +155,7 @@ _SCHEMA = "doc_id long, start long, end long, license string, reduction double,
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per finding: (doc_id, start, end, license, reduction, wording, differences)."""
     given = templates or TEMPLATES
+    reach = 2 * max(len(words(t)) for t in given.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(given)
@@ -169,7 +163,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b in blocks(text):
+                for a, b in blocks(text, reach):
                     got = scanner.confirmed(words(text[a:b]))
                     if got:
                         out.append((key, a, b, *got))

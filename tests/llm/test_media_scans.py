@@ -1,5 +1,6 @@
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -141,6 +142,19 @@ def test_notices_among_prose(spark, n):
     assert {(r.doc_id, r.license) for r in licenses.scan(df).collect()} == want
 
 
+@pytest.mark.parametrize("width", [30, 50, 72])
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_headers(spark, width, mark):
+    """Every wording in lines, without a copyright line, among lines of code."""
+    code = "\n".join(f"int v{i} = f(v{i - 1}, {i});" for i in range(1, 60))
+    names = sorted(licenses.TEMPLATES)
+    texts = ["\n".join([code, *(mark + line for line in textwrap.wrap(licenses.TEMPLATES[k], width, break_long_words=False, break_on_hyphens=False)), code]) for k in names]
+    df = spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], DOCS)
+    got = licenses.scan(df).collect()
+    assert sorted((names[r.doc_id], r.license) for r in got) == [(k, k) for k in names]
+    assert all(r.wording == 1 and r.differences == "" for r in got)
+
+
 def test_license_awkward_rows(docs, none):
     assert licenses.scan(docs).count() == 0 and licenses.scan(none).count() == 0
 
