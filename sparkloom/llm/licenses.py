@@ -4,10 +4,10 @@ Cue words with the words around them, as many as the wordings are long, are cand
 word with the templates that it has enough words of. The passage that an alignment spans is compressed alone
 and with the template as zstandard raw dictionary: how much smaller it gets does not depend on the words around it. The best
 template is confirmed if the passage gets smaller and has nearly all of the template's words in order; its
-exact differences are returned.
+exact differences are returned. Its words are then taken out, and the rest is scanned until nothing is confirmed.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned each; a block is
-named by code points, the end exclusive.
+named by code points, the end exclusive; so is the passage of a finding, as a block may have several.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def compared(template: list[str], part: list[str]) -> tuple[float, str, list[int
     """Share of the template's words found in order, what is missing (-) or put in between (+), and the places found."""
     ops = SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
     found = [i for op, _, _, c, d in ops if op == "equal" for i in range(c, d)]
-    said = [f"{s}{w}" for op, a, b, c, d in ops if op != "equal" for s, words in (("-", template[a:b]), ("+", part[c:d])) for w in words]
+    said = [f"{s}{w}" for op, a, b, c, d in ops if op != "equal" for s, words in (("-", template[a:b]), ("+", part[c:d])) for w in words if w != GONE]
     return len(found) / len(template), " ".join(said), found
 
 
@@ -114,12 +114,19 @@ def differences(template: list[str], block: list[str]) -> tuple[float, str]:
     return compared(template, block[slice(*at)])[:2] if at else (0.0, "")
 
 
+#: (template, reduction, wording, differences, places of the words found)
+Finding = tuple[str, float, float, str, list[int]]
+#: What stands for a word that an earlier finding has.
+GONE = ""
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
         import zstandard as z
 
-        self.words = {k: words(t) for k, t in templates.items()}
+        self.words = {k: w for k, t in templates.items() if (w := words(t))}
         self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.half = max(1000, 8 * max(map(len, self.words.values()), default=0))
         self.alone = z.ZstdCompressor(level=9, write_content_size=False)
         self.given = {}
         for k, w in self.words.items():
@@ -131,42 +138,68 @@ class Scanner:
         raw = " ".join(part).encode()
         return 1 - len(self.given[name].compress(raw)) / len(self.alone.compress(raw))
 
-    def confirmed(self, block: list[str]) -> tuple[str, float, float, str] | None:
-        """(template, reduction, wording, differences) of the block's licence."""
-        best, have = None, Counter(block)
-        for name, template in self.words.items():
-            # No alignment finds more words than the block has of the template's.
-            if (have & self.counts[name]).total() < WORDING * len(template):
-                continue
-            first, last = passage(template, block)
-            reduction = self.reduction(name, block[first:last])
-            wording, said, _ = compared(template, block[first:last])
-            if reduction >= REDUCTION and wording >= WORDING:
-                # All of a longer wording says more than all of a shorter one.
-                key = (round(wording * len(template)) - len(said.split()), reduction)
-                if best is None or key > best[0]:
-                    best = key, (name, reduction, wording, said)
-        return best and best[1]
-
-
-_SCHEMA = "doc_id long, start long, end long, license string, reduction double, wording double, differences string"
+    def candidate(self, name: str, block: list[str]) -> tuple[tuple[float, float], Finding] | None:
+        """(rank, finding) of the template's best passage."""
+        template = self.words[name]
+        first, last = passage(template, block)
+        wording, said, places = compared(template, block[first:last])
+        reduction = self.reduction(name, block[first:last])
+        if reduction < REDUCTION or wording < WORDING:
+            return None
+        # All of a longer wording says more than all of a shorter one.
+        return (round(wording * len(template)) - len(said.split()), reduction), (name, reduction, wording, said, [first + i for i in places])
+
+    def within(self, block: list[str]) -> Iterator[Finding]:
+        """Findings, best first; the words of one are taken out of the block before the next."""
+        rest, have, known = list(block), Counter(block), {}
+        while True:
+            for name, template in self.words.items():
+                # No alignment finds more words than the block has of the template's.
+                if name not in known and (have & self.counts[name]).total() >= WORDING * len(template):
+                    known[name] = self.candidate(name, rest)
+            if not any(known.values()):
+                return
+            finding = max((c for c in known.values() if c), key=lambda c: c[0])[1]
+            yield finding
+            gone = set(finding[-1])
+            for i in gone:
+                have[rest[i]] -= 1
+                rest[i] = GONE
+            # What had none of these words, and was confirmed, stays as it is.
+            known = {k: c for k, c in known.items() if c and gone.isdisjoint(c[1][-1])}
+
+    def findings(self, block: list[str]) -> list[Finding]:
+        """All findings of a block, in order; long blocks in windows that overlap by half."""
+        rest, out = list(block), []
+        for lo in range(0, max(len(rest) - self.half, 1), self.half):
+            final = lo + 2 * self.half >= len(rest)
+            for *finding, places in self.within(rest[lo : lo + 2 * self.half]):
+                # One that begins in the second half may go on: it belongs to the next window.
+                if final or places[0] < self.half:
+                    out.append((*finding, [lo + i for i in places]))
+                    for i in places:
+                        rest[lo + i] = GONE
+        return sorted(out, key=lambda f: (f[-1][0], f[0]))
+
+
+_SCHEMA = "doc_id long, start long, end long, license string, reduction double, wording double, differences string, found_start long, found_end long"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per finding: (doc_id, start, end, license, reduction, wording, differences)."""
+    """One row per finding: (doc_id, start, end, license, reduction, wording, differences, found_start, found_end)."""
     given = templates or TEMPLATES
     reach = 2 * max(len(words(t)) for t in given.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(given)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for a, b in blocks(text, reach):
-                    got = scanner.confirmed(words(text[a:b]))
-                    if got:
-                        out.append((key, a, b, *got))
+                    spans = [(m.start(), m.end()) for m in _WORDS(text, a, b)]
+                    for *got, places in scanner.findings([text[i:j].lower() for i, j in spans]):
+                        out.append((key, a, b, *got, spans[places[0]][0], spans[places[-1]][1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 

@@ -155,6 +155,23 @@ def test_wrapped_headers(spark, width, mark):
     assert all(r.wording == 1 and r.differences == "" for r in got)
 
 
+def test_every_license_of_a_block(spark):
+    names, t = sorted(licenses.TEMPLATES), licenses.TEMPLATES
+    short = [k for k in names if k.endswith("(notice)")]
+    several = {
+        0: ["MIT (notice)", "Apache-2.0 (notice)"], 1: short, 2: names, 3: names[::-1], 4: ["GPL-2.0", "GPL-3.0", "GPL-2.0"], 5: ["MIT (notice)"] * 3,
+        6: [short[i % len(short)] for i in range(900)], 7: [names[i % 23] for i in range(115)],
+    }
+    texts = {k: "\n".join(f"{i} lib{i}: {t[n]}" for i, n in enumerate(v)) for k, v in several.items()}
+    texts |= {k + 10: x.replace("\n", " ") for k, x in texts.items()}
+    df = spark.createDataFrame([(k, x, "", "", 0) for k, x in texts.items()], DOCS)
+    got = {k: [] for k in texts}
+    for r in sorted(licenses.scan(df).collect(), key=lambda r: r.found_start):
+        got[r.doc_id].append(r.license)
+        assert licenses.words(texts[r.doc_id][r.found_start : r.found_end]) == licenses.words(t[r.license]) and r.start <= r.found_start < r.found_end <= r.end
+    assert got == {k: several[k % 10] for k in texts}
+
+
 def test_license_awkward_rows(docs, none):
     assert licenses.scan(docs).count() == 0 and licenses.scan(none).count() == 0
 
