@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are runs of 16 to 512 characters of [A-Za-z0-9+/_=.-] with a digit and a letter. Their features
-are length, transitions between character classes, the share of distinct characters, dictionary coverage, the path of
+Candidates are runs of [A-Za-z0-9+/_.-] with a digit and a letter and with '=' as padding, of 16 characters or more, beside secret
+words of 8 or more; in NAME=value the name is a word beside the value. Their features are length, transitions between character classes, the share of distinct characters, dictionary coverage, the path of
 the document (tests, examples, lock files) and the words beside the candidate. The forest (Spark ML, which
 runs in the JVM) is trained on labelled findings; ``labelled_findings`` makes a table of them by rules, and any table with
 the same columns may take its place.
@@ -16,10 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from .pii import _located
 from .storage import staged
 
-TOKEN = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,512}+(?![A-Za-z0-9+/_=.-])"
+SIGN = "[A-Za-z0-9+/_.-]"
+TOKEN = rf"(?<!{SIGN})(?=[A-Za-z+/_.-]*+[0-9])(?=[0-9+/_.-]*+[A-Za-z]){SIGN}{{8,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=.-]))?"
+SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
+#: Length from which a run is a candidate wherever it stands.
+LONG = 16
 TREES, DEPTH, FINDINGS, THRESHOLD = 40, 7, 6000, 0.5
 
 # Words that secrets rarely hold, words beside them, and parts of paths.
@@ -28,6 +33,8 @@ SECRET_WORDS = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?k
 HARMLESS_WORDS = "commit|sha1|sha256|sha512|md5|hash|checksum|digest|uuid|guid|revision|integrity|etag|example|sample|placeholder|fixture|id"
 TEST_PATHS = r"(?:^|[/_.-])(?:tests?|spec|fixtures?|examples?|samples?|docs?|mocks?|package-lock|yarn|poetry)(?:[/_.-]|$)"
 
+BESIDE = rf"(?:{SECRET_WORDS})[^\n]{{0,12}}"
+
 FEATURES = (
     "size", "changes", "case_changes", "distinct", "digits", "upper", "symbols", "hex", "covered", "uuid", "dotted", "repeats",
     "secret_word", "harmless_word", "assigned", "quoted", "test_path",
@@ -36,14 +43,21 @@ FEATURES = (
 
 def candidates(text: Column) -> Column:
     """Array of (start, end, hit, before, after)."""
-    found = _located(text, TOKEN, F.lit(True))
-    mixed = F.filter(found, lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]"))
-    return F.transform(
-        mixed,
-        lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.right(x["before"], F.lit(40)).alias("before"), F.left(x["after"], F.lit(20)).alias("after")
-        ),
-    )
+
+    def whole(found: Column) -> Column:
+        """A name before the hit can be a hit of its own, and is still what stands before it."""
+
+        def make(x: Column, i: Column) -> Column:
+            last = F.get(found, i - 1)
+            before = F.concat(F.coalesce(F.right(last["before"], F.lit(40)), F.lit("")), F.coalesce(F.right(last["hit"], F.lit(40)), F.lit("")), x["before"])
+            return F.struct(
+                x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.right(before, F.lit(40)).alias("before"), F.left(x["after"], F.lit(20)).alias("after")
+            )
+
+        return F.transform(found, make)
+
+    near = bound(_located(text, TOKEN, F.lit(True)), whole)
+    return F.filter(near, lambda x: (F.length(x["hit"]) >= LONG) | F.lower(x["before"]).rlike(rf"{BESIDE}$"))
 
 
 def _share(hit: Column, pattern: str) -> Column:
@@ -55,7 +69,7 @@ def with_features(found: DataFrame) -> DataFrame:
     hit, low = F.col("hit"), F.lower("hit")
     n = F.length(hit).cast("double")
     cls = F.translate(
-        hit, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-", "a" * 26 + "A" * 26 + "0" * 10 + "_" * 6
+        hit, SIGNS, "a" * 26 + "A" * 26 + "0" * 10 + "_" * 6
     )
     dictionary = "|".join(sorted((w for w in DICTIONARY.split() if len(w) > 2), key=lambda w: (-len(w), w)))
     near = F.lower("before")
@@ -64,7 +78,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "size": F.log2(n),
         "changes": F.regexp_count(cls, F.lit(r"a(?=[^a])|A(?=[^A])|0(?=[^0])|_(?=[^_])")) / n,
         "case_changes": F.regexp_count(hit, F.lit("[a-z](?=[A-Z])")) / n,
-        "distinct": F.size(F.array_distinct(F.split(hit, ""))) / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.filter(F.array(*map(F.lit, SIGNS)), lambda c: F.contains(hit, c))) / F.least(n, F.lit(64.0)),
         "digits": _share(hit, "[0-9]"),
         "upper": _share(hit, "[A-Z]"),
         "symbols": _share(hit, "[+/_=.-]"),
@@ -73,7 +87,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "uuid": flag(low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
         "dotted": F.regexp_count(hit, F.lit("[./]")).cast("double"),
         "repeats": F.regexp_count(hit, F.lit(r"(.)\1")) / n,
-        "secret_word": flag(near.rlike(rf"(?:{SECRET_WORDS})[^\n]{{0,12}}$")),
+        "secret_word": flag(near.rlike(rf"{BESIDE}$")),
         "harmless_word": flag(near.rlike(rf"(?:^|[^a-z])(?:{HARMLESS_WORDS})[^a-z\n]{{0,6}}$")),
         "assigned": flag(near.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(near.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
@@ -89,8 +103,15 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     pick = lambda salt, values: F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(values))).cast("int"))
     b64 = F.base64(F.unhex(hashed("b")))
     word = lambda salt: pick(salt, DICTIONARY.split())
+    alnum = F.translate(b64, "+/=", "xyz")
+    long = lambda salt, n: F.base64(F.unhex(F.concat(*(hashed(f"{salt}{k}") for k in range(n)))))
+    safe = lambda salt, n: F.translate(long(salt, n), "+/=", "-_")
+    kind = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(12))
     secret = (
-        F.when(i % 10 < 4, F.substring(hashed("h"), 1, 40))
+        F.when(kind < 2, F.concat(F.substring(alnum, F.lit(1), (7 + i % 8).cast("int")), (i % 10).cast("string")))
+        .when(kind == 2, F.concat(F.lit("eyJ"), safe("j", 1), F.lit(".eyJ"), safe("k", 4), F.lit("."), safe("l", 1)))
+        .when(kind == 3, F.when(i % 2 == 0, long("m", 4)).otherwise(long("m", 24)))
+        .when(i % 10 < 4, F.substring(hashed("h"), 1, 40))
         .when(i % 10 == 4, F.upper(F.substring(hashed("h"), 1, 40)))
         .when(i % 10 < 7, F.substring(F.translate(b64, "+/=", "xyz"), 1, 32))
         .when(i % 10 == 7, b64)
@@ -98,7 +119,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         .otherwise(F.substring(hashed("h"), 1, 32))
     )
     harmless = (
-        F.when(i % 10 < 2, F.substring(hashed("n"), 1, 40))
+        F.when(kind < 2, F.concat(F.rpad(F.concat_ws("_", word("a"), word("b")), (7 + i % 8).cast("int"), "_item"), (i % 10).cast("string")))
+        .when(kind == 3, F.when(i % 2 == 0, long("o", 4)).otherwise(long("o", 24)))
+        .when(i % 10 < 2, F.substring(hashed("n"), 1, 40))
         .when(i % 10 == 2, F.concat_ws("-", *(F.substring(hashed("u"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
         .when(i % 10 < 5, F.concat_ws("_", F.lit("your"), word("a"), word("b"), F.lit("1234")))
         .when(i % 10 == 5, F.concat_ws("-", word("a"), word("b"), word("c"), (i % 97).cast("string")))
@@ -113,8 +136,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     good_word = pick("g", ["token", "secret", "password", "api_key", "access_key", "auth", "TOKEN", "client_secret"])
     bad_word = pick("q", ["commit ", "sha256:", "checksum ", "uuid ", "hash = ", "example token = ", "id=", "see ", "in ", "", "version "])
     tail = F.when(sign.endswith('"'), F.lit('"')).when(sign.endswith("'"), F.lit("'")).otherwise(F.lit(" "))
-    fake = (label == 0) & (i % 10).between(3, 8)
-    before = F.when(label == 1, F.concat(lead, good_word, sign)).when(fake & (i % 3 == 0), F.concat(lead, good_word, sign)).otherwise(F.concat(lead, bad_word))
+    fake = (label == 0) & (F.when(kind < 2, i % 2 == 0).otherwise((kind != 3) & (i % 10).between(3, 8)))
+    before = F.when(label == 1, F.concat(lead, good_word, sign)).when(fake & (i % 3 == 0), F.concat(lead, good_word, sign)).when((kind == 3) & (i % 3 > 0), F.lit("data:image/png;base64,")).otherwise(F.concat(lead, bad_word))
     after = F.when((label == 1) | (fake & (i % 3 == 0)), tail).otherwise(F.lit(" "))
     path = F.when((label == 0) & (i % 4 == 0), pick("t", ["tests/data.py", "docs/guide.md", "package-lock.json"])).otherwise(pick("t", ["src/main.py", "app/config.yml", "notes.txt"]))
     return spark.range(n).select(
@@ -143,8 +166,8 @@ def scan(docs: DataFrame, model, threshold: float = THRESHOLD, path: str = "sour
 
     text = F.col("text").cast("string")
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    # A text without a run of 16 such characters with a digit is not taken apart.
-    possible = text.rlike(r"[A-Za-z0-9+/_=.-]{16}")
+    # A text without such a run of 16 characters, or of 8 beside a secret word, is not taken apart.
+    possible = text.rlike(rf"{SIGN}{{{LONG - 2}}}") | text.rlike(rf"(?i){BESIDE}{TOKEN}")
     rows = docs.where(possible).select("doc_id", where.alias("path"), F.inline(candidates(text)))
     # Features of a list inside a generator would be computed again for each; the table is small.
     rows = staged(rows, "secret-candidates")

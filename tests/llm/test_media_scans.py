@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import textwrap
@@ -209,6 +210,42 @@ def test_false_positives_go(spark, forest):
     assert {r.doc_id: r.probability for r in secrets.scan(df, None).collect()} == {k: 0.5 for k in (1, 2, 3, 4, 7)}
 
 
+def test_candidates_of_any_length(spark):
+    """Names before '=' are not part of a hit, padding is, and no length is too great."""
+    rng = random.Random(6)
+    made = lambda n, signs="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(signs) for _ in range(n - 2)) + "a7"
+    cases = {
+        "DB_PASSWORD=": made(8), "AWS_SECRET_ACCESS_KEY=": made(40), "export GITHUB2_APP3_TOKEN=": made(36), 'password: "': made(15), "token = ": made(22) + "==",
+        "auth: Bearer ": ".".join(["eyJ" + made(33), made(700), made(43)]), "private_key = ": base64.b64encode(rng.randbytes(1600)).decode(), "secret=": made(300_000), "x = ": made(600),
+    }
+    texts = {i: f"some words\n{a}{b}\nmore words" for i, (a, b) in enumerate(cases.items())} | {20: "version " + made(12), 21: "password = abcdefghijkl", 22: "see a1b2c3 token"}
+    df = spark.createDataFrame([(k, t, "", "src/a.py", 0) for k, t in texts.items()], DOCS)
+    got = [(r.doc_id, r.start, r.end, r.secret_sha256) for r in secrets.scan(df, None).collect() if "TOKEN" not in texts[r.doc_id][r.start : r.end]]
+    assert sorted(got) == [(i, 11 + len(a), 11 + len(a) + len(b), hashlib.sha256(b.encode()).hexdigest()) for i, (a, b) in enumerate(cases.items())]
+
+
+def test_secrets_of_any_length(spark, forest):
+    """Short, long and env-style secrets are told from harmless runs like them."""
+    rng = random.Random(7)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 2)) + "k7"
+    blob = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    secret = {
+        "short": lambda: f'password = "{made(rng.randint(9, 15))}"', "env": lambda: f"export CLIENT2_SECRET1_TOKEN={made(40)}", "short env": lambda: f"DB_PASSWORD={made(12)}",
+        "jwt": lambda: f"token: eyJ{made(33)}.{made(rng.randint(100, 900))}.{made(43)}", "key": lambda: f"private_key={blob(rng.randint(400, 3000))}",
+    }
+    harmless = {
+        "named": lambda: f'token = "{rng.choice(["value", "example", "default", "content"])}_item{rng.randint(10, 99)}"', "image": lambda: f"data:image/png;base64,{blob(rng.randint(400, 3000))}",
+        "env": lambda: f"COMMIT={hashlib.sha1(rng.randbytes(9)).hexdigest()}", "plain": lambda: f"version {made(12)}",
+    }
+    rows = [(label, k, f()) for label, kinds in ((1, secret), (0, harmless)) for k, f in kinds.items() for _ in range(40)]
+    df = spark.createDataFrame([(i, f"some words\n{t}\nmore", "", "src/a.py", 0) for i, (_, _, t) in enumerate(rows)], DOCS)
+    seen = {r.doc_id for r in secrets.scan(df, forest).collect()}
+    right = {}
+    for i, (label, k, _) in enumerate(rows):
+        right[label, k] = right.get((label, k), 0) + ((i in seen) == label) / 40
+    assert min(right.values()) >= 0.9, right
+
+
 def test_secrets_awkward_rows(spark, docs, none, forest):
     assert secrets.scan(docs, forest).count() == 0 and secrets.scan(none, forest).count() == 0
     assert secrets.train(secrets.labelled_findings(spark).where("label = 1")) is None
