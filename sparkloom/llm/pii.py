@@ -5,6 +5,7 @@ the words beside them are lexical patterns, as are those beside any other token
 an identifier (six characters or more with four digits or more). Patterns and instances are a
 bipartite graph. In each round a pattern's confidence is the share of its instances that are
 believed, and an instance's belief the noisy-or of its patterns; seeds are always believed.
+A pattern needs some believed instances, seeds at first and found ones in later rounds.
 Instances of high belief that stand beside a pattern of high confidence are added, as kind ``id``.
 
 Positions count code points; ends are exclusive. The regular expressions below match what the
@@ -35,7 +36,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # a run of other characters than white space with a digit
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
-#: Rounds over the graph; seeds that a pattern needs; least confidence of a pattern and belief in an instance.
+#: Rounds over the graph; believed instances that a pattern needs; least confidence of a pattern and belief in an instance.
 ROUNDS, SUPPORT, CONFIDENCE, BELIEF = 3, 3, 0.8, 0.9
 
 
@@ -111,8 +112,8 @@ def _candidates(text: Column, base: Column) -> Column:
             start.alias("start"),
             (start + F.length(core)).alias("end"),
             core.alias("instance"),
-            word(F.regexp_extract(F.right(x["before"], F.lit(48)), r"(?<!\S)(\S++)\s*$", 1)).alias("left"),
-            word(F.regexp_extract(F.left(x["after"], F.lit(48)), r"^\s*(\S++)", 1)).alias("right"),
+            word(F.reverse(F.regexp_extract(F.reverse(x["before"]), r"^\s*(\S++)", 1))).alias("left"),
+            word(F.regexp_extract(x["after"], r"^\s*(\S++)", 1)).alias("right"),
         )
 
     def judged(x: Column) -> Column:
@@ -140,8 +141,8 @@ def _scored(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
         pattern = staged(
             graph.join(belief, "instance")
             .groupBy("pattern")
-            .agg(F.sum("belief").alias("sum"), F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-            .where(F.col("seeds") >= SUPPORT)
+            .agg(F.sum("belief").alias("sum"), F.count("*").alias("n"), F.sum((F.col("belief") >= BELIEF).cast("int")).alias("support"))
+            .where(F.col("support") >= SUPPORT)
             .select("pattern", (F.col("sum") / F.col("n")).alias("confidence")),
             "patterns",
         )

@@ -163,6 +163,17 @@ def test_context_finds_unseen_identifiers(spark):
     assert masked[102].text == texts[102]
 
 
+def test_found_identifiers_make_patterns(spark):
+    """Context beside found identifiers only, and neighbours that are far away or long."""
+    texts = {i: f"or call: user{i}@mail.org now" for i in range(20)}
+    texts |= {30 + i: f"or call: 77-88{i}00 now" for i in range(4)} | {40 + i: f"ref: 77-88{i}00 filed" for i in range(4)} | {50: "ref: 99-12345 filed"}
+    texts |= {60: "or call:" + " " * 60 + "44-55555" + " " * 60 + "now", 61: "in 99-12346 cases", 62: "x" * 60 + "call: 44-66666 " + "now" * 30}
+    df = spark.createDataFrame([(k, t, "", "", 0) for k, t in texts.items()], DOCS)
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert all(got[30 + i] == "id:9:17" and got[40 + i] == "id:5:13" for i in range(4))
+    assert got[50] == "id:5:13" and got[60] == "id:68:76" and got[61] == got[62] == ""
+
+
 def test_pii_awkward_rows(docs, awkward, none):
     got = pii.report(docs).collect()
     assert len(got) == len(awkward)
