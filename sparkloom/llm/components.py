@@ -1,7 +1,9 @@
-"""Connected components of a link table by alternating large-star and small-star steps.
+"""Connected components of a link table by contraction.
 
-Each step is a grouped minimum (combined map-side) and an equi-join, so a hub with many
-links neither meets in one task nor reaches the driver.
+Every node hangs on its smallest neighbour, if that is smaller than itself; parents are replaced by theirs until
+all nodes of a tree hang on its root; links between trees are then links between roots, and the same again
+joins these. Each step is a grouped minimum (combined map-side) or an equi-join of written tables, whose sides
+have an exchange of their own: Spark splits a hub with very many links into several tasks, and no link reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,58 +14,58 @@ from pyspark.sql import functions as F
 from .storage import discard, staged
 
 
-#: Parts that a node's links are joined in.
-SALTS = 16
-
-
-def _stars(sym: DataFrame) -> DataFrame:
-    """Adds to each link (u, v) the smallest v of u; a hub's links are joined in parts."""
-    salted = sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    low = salted.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(F.expr("shiftleft(1, salt)")).alias("used"))
-    parts = F.filter(F.array(*map(F.lit, range(SALTS))), lambda i: F.bit_get("used", i) == 1)
-    return salted.join(low.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+def _rooted(parents: DataFrame) -> DataFrame:
+    """The written ``parents(node, component)`` of a forest -> (node, component, moved), component being each tree's root; written."""
+    state = parents
+    while True:
+        above = state.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        up = state.select("node", "component").join(above, "component", "left")
+        after = staged(up.select("node", F.coalesce("top", "component").alias("component"), F.col("top").isNotNull().alias("moved")), "trees")
+        discard(state)
+        state = after
+        if state.where("moved").isEmpty():
+            return state
 
 
-def _settled(state: DataFrame) -> bool:
-    """Whether every node has one link downwards, to a node that has none."""
-    ends = state.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
-        state.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up"))
-    )
-    odd = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)")
-    return odd.isEmpty()
+def _joined(comp: DataFrame, tops: DataFrame) -> DataFrame:
+    """Components once those in ``tops`` are joined; nodes that ``comp`` doesn't have come from ``tops``."""
+    above = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = comp.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return staged(moved.unionByName(tops.join(comp.select("node"), "node", "left_anti").select("node", "component")), "components")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)``, component being the smallest node reached.
 
     Nodes without a link to another node do not appear. Null ends and self-links are ignored;
-    repeated links count once; an empty table gives an empty result.
+    repeated links count once; an empty table gives an empty result. The result is a written table.
     """
-    e = (
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+    links = staged(
+        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    state = staged(e, "links")
-    while not _settled(state):
-        both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            _stars(both)
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
-        stars = _stars(large)
-        small = (
-            stars.where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(stars.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        after = staged(small, "links")
-        discard(state)
-        state = after
-    leaves = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = leaves.select(F.col("component").alias("node"), "component").distinct()
-    return leaves.unionByName(roots)
+    parents = staged(links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), "trees")
+    forest = links.count() == parents.count()
+    trees = _rooted(parents)
+    roots = trees.select(F.col("component").alias("node"), "component").distinct()
+    comp = staged(trees.select("node", "component").unionByName(roots), "components")
+    discard(trees)
+    if not forest:
+        comp = extended(comp, links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    discard(links)
+    return comp
+
+
+def extended(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``comp`` once ``links(a, b)`` are added. Both are written tables; ``comp`` is deleted if it changes."""
+    one = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    ends = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    rest = staged(ends.where("a <> b").distinct(), "links")
+    if not rest.isEmpty():
+        tops = connected_components(rest)
+        out = _joined(comp, tops)
+        discard(comp)
+        discard(tops)
+        comp = out
+    discard(rest)
+    return comp

@@ -5,16 +5,18 @@ Similarity is the probability Jaccard
 ``J_P(x, y) = sum_d 1 / sum_e max(x_e / x_d, y_e / y_d)``; with equal weights it is the plain
 Jaccard similarity. Each shingle is a Poisson process with its weight as rate; each arrival
 falls into one of ``bands * rows`` registers, which keep the earliest. A document stops as
-soon as no shingle can arrive before the latest of its registers. Registers are banded. The
-documents of a bucket are compared exactly with its first; where that leaves several components in a bucket,
-all pairs across components are: one by one in small buckets, by matrix products over blocks in large ones.
+soon as no shingle can arrive before the latest of its registers. Registers are banded. A document is
+compared exactly with the first of all documents that it shares a bucket with, which gives a forest; then with the first of each
+bucket where both are still in different components. Where that leaves several components in a bucket,
+all pairs across components are compared: one by one in small buckets, by matrix products over blocks in large ones.
 
 With 24 bands of 4 rows a pair of similarity 0.8 is missed with probability 3e-6.
 
 Defined results: null and empty texts have no shingles and link with nothing; texts of one
 to four words are one shingle; texts with the same weighted shingles (copies among them) are one
-class and are compared once; rows with a null doc_id are returned as their own kept group; rows that share a
-doc_id are one document with the links of all of them, and each of them is returned.
+class and are compared once; rows with a null doc_id link with nothing and are kept. Rows that share a
+doc_id are documents of their own, each with its own class and group; of the rows of a group exactly one is kept, that of the smallest
+doc_id (then of the smallest hash of its text; of equal rows any one).
 """
 
 from __future__ import annotations
@@ -25,18 +27,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, extended
 from .shingles import mix, weighted_shingles
 from .storage import discard, staged
 
 BANDS, ROWS, K, THRESHOLD = 24, 4, 5, 0.8
 #: Characters whose shingles are in memory at a time.
 SLICE = 600_000
-#: Rows up to which a bucket's pairs are compared one by one; documents on a side of a block in larger ones.
-SMALL, BLOCK = 12, 1024
+#: Rows up to which a bucket's pairs are compared one by one; documents and bytes of shingles on a side of a block in larger ones.
+SMALL, BLOCK, BYTES = 12, 1024, 8_000_000
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -106,11 +108,11 @@ def probability_jaccard(h1, w1, h2, w2) -> float:
 
 
 def signatures(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, k1, k2, bands): a 128-bit key of the weighted shingles and the buckets; bands null without shingles."""
+    """(doc_id, h, k1, k2, bands): hash of the text, a 128-bit key of the weighted shingles and the buckets; bands null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, hashes, texts = batch.columns
             for a, b in slices(texts):
                 h, w, doc = weighted_shingles(texts.slice(a, b - a).to_pylist(), k)
                 n = b - a
@@ -126,16 +128,21 @@ def signatures(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS
                 offsets = np.concatenate(([0], np.cumsum(have * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~have))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, n), pa.array(mark[0]), pa.array(mark[1]), lists],
-                    names=["doc_id", "k1", "k2", "bands"],
+                    [ids.slice(a, n), hashes.slice(a, n), pa.array(mark[0]), pa.array(mark[1]), lists],
+                    names=["doc_id", "h", "k1", "k2", "bands"],
                 )
 
-    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return src.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, h long, k1 long, k2 long, bands array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): rows equal in doc_id and h are equal in their text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, h, w): distinct shingle hashes, sorted, and weights unless all are 1, as bytes."""
+    """(node, h, w, bytes): distinct shingle hashes, sorted, and weights unless all are 1, as bytes, and the number of both's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +155,11 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                     hs.append(h[s:e].tobytes())
                     ws.append(None if (w[s:e] == 1).all() else w[s:e].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())],
-                    names=["node", "h", "w"],
+                    [ids.slice(a, b - a), pa.array(hs, pa.binary()), pa.array(ws, pa.binary()), pa.array([len(x) + len(y or b"") for x, y in zip(hs, ws)], pa.int64())],
+                    names=["node", "h", "w", "bytes"],
                 )
 
-    return docs.mapInArrow(run, "node long, h binary, w binary")
+    return docs.mapInArrow(run, "node long, h binary, w binary, bytes long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -184,22 +191,23 @@ def _block_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     """Links that join the components of large buckets, as (a, b).
 
     Components that share a large bucket are a cluster. The documents outside its largest
-    component are compared with all of it, in blocks of at most ``BLOCK`` by ``BLOCK`` documents,
-    each a task of its own that returns only links which join two components.
+    component are compared with all of it, in blocks of about ``BLOCK`` by ``BLOCK`` documents, fewer
+    if their shingles take more than ``BYTES``; each block returns only links which join two components.
     """
-    ends = mixed.groupBy("bucket").agg(F.min("component").alias("a"))
-    cluster = staged(connected_components(mixed.join(ends, "bucket").select("a", F.col("component").alias("b"))), "clusters")
+    ends = staged(mixed.groupBy("bucket").agg(F.min("component").alias("a")), "bucket-ends")
+    cluster = connected_components(mixed.join(ends, "bucket").select("a", F.col("component").alias("b")).distinct())
     rows = mixed.select("rep", "component").distinct().join(cluster.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
-    rows = staged(rows, "clustered")
-    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    cores = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    rows = staged(rows.join(sets.select(F.col("node").alias("rep"), "bytes"), "rep"), "clustered")
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    cores = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component", "bytes")).alias("m"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n: str, size: str) -> Column:
+        return F.ceil(F.greatest(F.expr(n) / BLOCK, F.expr(size) / BYTES)).cast("int")
+
     cores = cores.select(
-        "cluster",
-        F.col("m.component").alias("core"),
-        F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("asked"),
-        F.ceil(F.col("all") / BLOCK).cast("int").alias("held"),
+        "cluster", F.col("m.component").alias("core"), blocks("`all` - m.n", "bytes - m.bytes").alias("asked"), blocks("`all`", "bytes").alias("held")
     )
-    dealt = rows.join(cores, "cluster").withColumn("deal", F.xxhash64("rep"))
+    dealt = rows.drop("bytes").join(staged(cores, "cluster-cores"), "cluster").withColumn("deal", F.xxhash64("rep"))
     queries = dealt.where("component <> core").select("cluster", F.pmod("deal", "asked").alias("i"), F.explode(F.sequence(F.lit(0), F.col("held") - 1)).alias("j"), "rep", "component", F.lit(True).alias("query"))
     held = dealt.select("cluster", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("i"), F.pmod("deal", "held").alias("j"), "rep", "component", F.lit(False).alias("query"))
     both = queries.select(*held.columns).unionByName(held).join(sets.select(F.col("node").alias("rep"), "h", "w"), "rep")
@@ -276,48 +284,89 @@ def block_links(rows: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
+def grouped(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, h, class_id, group_id, kept), h being a hash of the text."""
+    # Numbers that are written stand for the rows from here on.
+    sig = staged(signatures(docs, k, bands, rows).withColumn("no", F.monotonically_increasing_id()), "signatures")
+    able = sig.where("doc_id is not null and bands is not null")
+    # A sum that is written first joins by an exchange of its own, which Spark can split where one key has very many rows.
+    heads = staged(able.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h", "no")).alias("head")), "class-heads")
+    first = F.col("no") == F.col("head.no")
+    member = able.join(heads, ["k1", "k2"]).select(
+        "doc_id", "h", "no", F.col("head.no").alias("node"), F.col("head.doc_id").alias("class_id"), F.when(first, F.col("bands")).alias("bands"),
+        (~first & (F.col("doc_id") == F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))).alias("again"),
+    )
+    member = staged(member, "classes")
+    head = member.where("bands is not null")
+    row = head.select("node", F.explode("bands").alias("bucket"))
+    ends = staged(row.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last"), "bucket-ends")
+    crowd = staged(row.join(ends.select("bucket", "lead"), "bucket").select("bucket", F.col("node").alias("rep"), "lead"), "buckets")
+    nodes = head.select("doc_id", "h", "node").join(crowd.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+    sets = _shingle_sets(_keyed(docs).join(nodes, ["doc_id", "h"]).select("node", "text"), k)
+    # Rows repeated with their doc_id can't be told apart in ``docs``.
+    sets = staged(sets if member.where("again").isEmpty() else sets.dropDuplicates(["node"]), "shingles")
+
+    # One link for each document, to an earlier one: a forest.
+    led = crowd.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    links = _verified(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, threshold)
+    comp = connected_components(links)
+    # The first of each other bucket, where that joins two components.
+    other = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    own = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = led.join(own, "b", "left").join(other, "a", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
+    comp = extended(comp, staged(_verified(apart, sets, threshold), "links"))
+
+    # Buckets whose members are still in different components: small ones pair by pair, large ones in blocks.
+    left = staged(_mixed(crowd, comp), "mixed")
+    if not left.isEmpty():
+        small = left.where(F.col("n") <= SMALL).select("bucket", "rep", "component")
+        other = small.select("bucket", F.col("rep").alias("a"), F.col("component").alias("c"))
+        more = other.join(small, "bucket").where("a < rep and c <> component").select("a", F.col("rep").alias("b")).distinct()
+        comp = extended(comp, staged(_verified(more, sets, threshold), "links"))
+        large = left.where(F.col("n") > SMALL).select("bucket", "rep", "lead")
+        if not large.isEmpty():
+            comp = extended(comp, staged(_block_links(staged(_mixed(large, comp), "mixed"), sets, threshold), "links"))
+
+    # The first row of each group of several classes, then the group of each class.
+    firsts = comp.join(head.select("node", "doc_id", "h"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "h", "node")).alias("first"))
+    named = staged(comp.join(staged(firsts, "group-heads"), "component").select("node", "first"), "groups")
+    for spent in (ends, crowd, sets, left, comp):
+        discard(spent)
+    linked = member.join(named, "node", "left").select(
+        "doc_id", "h", "class_id", F.coalesce("first.doc_id", "class_id").alias("group_id"), (F.col("no") == F.coalesce("first.node", "node")).alias("kept")
+    )
+    alone = sig.where("doc_id is null or bands is null").select(
+        "doc_id", "h", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(True).alias("kept")
+    )
+    return linked.unionByName(alone)
+
+
 def near_duplicates(
     docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """One row per document: (doc_id, class_id, group_id, kept).
+    """One row per row of ``docs``: (doc_id, class_id, group_id, kept).
 
     class_id is the smallest doc_id with the same weighted shingles, group_id the smallest doc_id
-    reachable by links of at least ``threshold``; kept marks it.
+    reachable by links of at least ``threshold``; of the rows of a group one is kept.
     """
-    sig = staged(signatures(docs, k, bands, rows), "signatures")
-    classes = sig.where("doc_id is not null and bands is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    # A sum that is written first joins by an exchange of its own, which Spark can split where one key has very many rows.
-    classes = staged(classes, "class-names")
-    member = staged(sig.join(classes, ["k1", "k2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
-    row = member.where("bands is not null").select("rep", F.explode("bands").alias("bucket"))
-    ends = staged(row.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last"), "bucket-ends")
-    crowd = staged(row.join(ends.select("bucket", "lead"), "bucket").select("bucket", "rep", "lead").distinct(), "buckets")
-    nodes = crowd.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(_shingle_sets(texts.join(nodes, "doc_id"), k), "shingles")
-
-    pairs = crowd.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = staged(_verified(pairs, sets, threshold), "links")
-    comp = staged(connected_components(links), "components")
+    return grouped(docs, k, bands, rows, threshold).select("doc_id", "class_id", "group_id", "kept")
 
-    # Buckets whose members are still in different components: small ones pair by pair, large ones in blocks.
-    left = staged(_mixed(crowd, comp), "mixed")
-    small = left.where(F.col("n") <= SMALL).select("bucket", "rep", "component")
-    other = small.select("bucket", F.col("rep").alias("a"), F.col("component").alias("c"))
-    more = other.join(small, "bucket").where("a < rep and c <> component").select("a", F.col("rep").alias("b")).distinct()
-    links = staged(links.unionByName(_verified(more, sets, threshold)), "links")
-    large = left.where(F.col("n") > SMALL).select("bucket", "rep", "lead")
-    if not large.isEmpty():
-        comp = staged(connected_components(links), "components")
-        left = staged(_mixed(large, comp), "mixed")
-        links = staged(links.unionByName(_block_links(left, sets, threshold)), "links")
-    comp = staged(connected_components(links), "components")
-    for spent in (crowd, sets, left):
-        discard(spent)
 
-    placed = member.select("doc_id", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = placed.select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"))
-    alone = sig.where("doc_id is null or bands is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id")
-    )
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns: one of each group, all without shingles or doc_id.
+
+    Of rows equal in doc_id and text, but not in other columns, any one is kept.
+    """
+    found = grouped(docs, **options).where("doc_id is not null")
+    # Rows are known by doc_id and text. Some of those with the same may stay: all have no shingles, or one is kept.
+    spare = found.groupBy("doc_id", "h").agg(F.count_if("kept").alias("stay"), F.count("*").alias("n")).where("stay < n")
+    spare = staged(spare.select("doc_id", "h", "stay"), "spare-rows")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"),
+    )
+    out = rows.join(spare, ["doc_id", "h"], "left_anti").select("row.*")
+    again = spare.where("stay > 0")
+    if not again.isEmpty():
+        out = out.union(rows.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*"))
+    return out

@@ -29,7 +29,7 @@ def union(nodes, links):
 
 def test_components(spark):
     rng = random.Random(4)
-    for n, m in ((0, 0), (30, 12), (200, 190), (200, 400)):
+    for n, m in ((0, 0), (200, 190), (200, 400)):
         links = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(1000, 1040) if n]
         got = {r.node: r.component for r in connected_components(spark.createDataFrame([*links, (None, 5), (7, 7)], "a long, b long")).collect()}
         want = union({x for e in links for x in e}, links)
@@ -129,6 +129,58 @@ def test_chain_in_one_bucket(spark):
     assert got == brute(texts)[0]
 
 
+def rows_by_brute_force(rows):
+    """Group and kept row of each row, rows that share a doc_id being documents of their own."""
+    texts = {i: r[1] for i, r in enumerate(rows) if r[0] is not None}
+    group = brute(texts)[0]
+    first = {}
+    for i in group:
+        first[group[i]] = min(first.get(group[i], i), i, key=lambda n: (rows[n][0], n))
+    return {i: rows[first[group[i]]][0] for i in group}, [first[g] for g in first]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"{x}{rng.randrange(300)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (1, a), (7, c), (7, c), (7, c), (8, ""), (8, ""), (9, None), (None, a), (4, "short"), (4, c + " end")]
+    docs = spark.createDataFrame([(k, t, f"l{i}", "s", i) for i, (k, t) in enumerate(rows)], DOCS).repartition(3)
+    group, kept = rows_by_brute_force(rows)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.group_id) for r in got) == Counter((rows[i][0], group[i]) for i in group) + Counter({(None, None): 1})
+    # Rows 1 and 2 hold text a, 2 and 3 text b, 7 and 4 text c; of each one row stays, and all rows without words or doc_id.
+    want = Counter(rows[i] for i in kept) + Counter({(None, a): 1})
+    left = minhash.deduplicated(docs)
+    assert left.columns == docs.columns and left.schema == docs.schema
+    near = lambda t: {a: "a", b: "b", b + " more": "b", c: "c", c + " end": "c"}.get(t, t)
+    assert Counter(near(r.text) for r in left.collect()) == Counter(near(t) for _, t in want.elements())
+    assert len([r for r in got if r.kept]) == sum(want.values())
+
+
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    rng = random.Random(21)
+    bases = [[f"w{rng.randrange(500)}" for _ in range(50)] for _ in range(15)]
+    rows = [(rng.randrange(30), changed(rng.choice(bases), rng.choice([0, 0, 1, 12]), rng)) for _ in range(90)]
+    rows += rng.choices(rows, k=20)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS).repartition(4)
+    texts = dict(enumerate(t for _, t in rows))
+    group = brute(texts)[0]
+    left = [r.text for r in minhash.deduplicated(docs).collect()]
+    by_text = {t: group[i] for i, t in texts.items()}
+    assert sorted(by_text[t] for t in left) == sorted(set(group.values()))
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    """Blocks by their bytes give what blocks by their rows give."""
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    monkeypatch.setattr(minhash, "BYTES", 3_000)
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(400)}" for _ in range(90)]
+    texts = {i: changed(base, rng.randint(1, 4), rng) for i in range(40)}
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOCS)).collect()}
+    assert got == brute(texts)[0]
+
+
 def test_sample_tables(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r.group_id for r in op7_minhash_near_dedup(spark, SF).collect()}
@@ -190,6 +242,19 @@ def test_vectors_awkward(spark, tile):
     compare_vectors(embeddings.near_duplicates(df, tile=tile).collect(), rows)
 
 
+def test_vectors_that_share_an_id(spark):
+    """Each row has its own links, also where vec_id is repeated with other vectors."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.0, 2.0], 0), (5, [-1.0, 0.0], 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True)]
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(0, [1e200, 0.0], 0), (1, [1e200, 1e190], 0), (2, [2e-200, 0.0], 0), (3, [1e-200, 0.0], 0), (4, [5e-324, 0.0], 0), (5, [0.0, 1e308], 0), (6, [1.0, 1e308], 0), (7, [-1e200, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
