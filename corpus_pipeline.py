@@ -6,7 +6,6 @@ Each stage gets all that its predecessor kept, written as Parquet and read back.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import minhash, packing, pii, quality
 from sparkloom.llm.queries import tokenizer
@@ -19,9 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of rows that share its doc_id, one."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies; rows are judged one by one, also where several share a doc_id."""
+    return minhash.deduplicated(docs)
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +28,11 @@ def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in a sequence of at most 1,024 tokens."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    """Every piece's place in a sequence of at most 1,024 tokens.
+
+    Fewer pieces of text are remembered than by default, and few after a task, as workers serve the other stages too.
+    """
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), remembered=300_000, kept=50_000)
 
 
 STAGES = [
