@@ -37,7 +37,7 @@ def term_key(term: Column) -> Column:
 
 def word_form(token: Column) -> Column:
     """A word without hyphens and apostrophes at its end (it begins with a letter)."""
-    return F.regexp_replace(token, "[-'’\\x{00AD}]+$", "")
+    return F.rtrim(token, F.lit("-'’\u00ad"))
 
 
 def hex_colour(value: Column) -> Column:

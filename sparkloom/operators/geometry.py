@@ -5,6 +5,8 @@ Boxes are x0, y0, x1, y1 with y downwards. All windows and joins stay inside a p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,9 +131,8 @@ def formula_groups(areas: DataFrame, factor: float = 0.8) -> DataFrame:
     formula; their lead is its smallest id. A page is worked on by one task; needs seg_id, box, size, formula, frame.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seg_id").reset_index(drop=True)
-        up = list(range(len(rows)))
+    def page_groups(ids: list, x0: list, x1: list, y0: list, y1: list, size: list, formula: list, frame: list) -> list[tuple[int, int]]:
+        up = list(range(len(ids)))
 
         def top(i: int) -> int:
             while up[i] != i:
@@ -139,27 +140,33 @@ def formula_groups(areas: DataFrame, factor: float = 0.8) -> DataFrame:
                 i = up[i]
             return i
 
-        near = rows.sort_values("x0").index.tolist()
-        reach = factor * rows["size"].max() if len(rows) else 0
-        for n, i in enumerate(near):
-            a = rows.loc[i]
-            for j in near[n + 1 :]:
-                b = rows.loc[j]
-                if b.x0 - a.x1 > reach and b.x0 > a.x1:
-                    if b.x0 - rows["x1"].max() > reach:
-                        break
-                    continue
-                most = factor * max(a["size"], b["size"])
-                gaps = max(a.x0, b.x0) - min(a.x1, b.x1), max(a.y0, b.y0) - min(a.y1, b.y1)
-                if (a.formula or b.formula) and not a.frame and not b.frame and max(gaps) < most:
+        near = sorted((i for i in up if not frame[i]), key=lambda i: x0[i])
+        reach = factor * max(size, default=0)
+        # The furthest right edge so far: what begins beyond its reach touches nothing before it.
+        open_: list[int] = []
+        for i in near:
+            open_ = [j for j in open_ if x0[i] - x1[j] < reach]
+            for j in open_:
+                gaps = max(x0[i], x0[j]) - min(x1[i], x1[j]), max(y0[i], y0[j]) - min(y1[i], y1[j])
+                if (formula[i] or formula[j]) and max(gaps) < factor * max(size[i], size[j]):
                     up[top(j)] = top(i)
-        rows["root"] = [top(i) for i in range(len(rows))]
-        lead = rows[rows.formula].groupby("root").seg_id.min()
-        size = rows.groupby("root").seg_id.size()
-        kept = rows[rows.root.map(size).gt(1) & rows.root.isin(lead.index)]
-        return kept.assign(lead=kept.root.map(lead))[["doc_id", "page", "seg_id", "lead"]]
-
-    return areas.groupBy(*PAGE).applyInPandas(run, "doc_id long, page int, seg_id int, lead int")
+            open_.append(i)
+        members: dict[int, list[int]] = {}
+        for i in range(len(ids)):
+            members.setdefault(top(i), []).append(i)
+        leads = ((min((ids[i] for i in own if formula[i]), default=None), own) for own in members.values() if len(own) > 1)
+        return [(ids[i], lead) for lead, own in leads if lead is not None for i in own]
+
+    columns = ("seg_id", "x0", "x1", "y0", "y1", "size", "formula", "frame")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(d, p, *g) for d, p, *own in zip(*(rows[c] for c in (*PAGE, *columns))) for g in page_groups(*map(list, own))]
+            yield pd.DataFrame(out, columns=[*PAGE, "seg_id", "lead"])
+
+    # A page is one row, so that many pages go through Python in one batch.
+    pages = areas.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("own")).select(*PAGE, *(F.col(f"own.{c}").alias(c) for c in columns))
+    return pages.mapInPandas(run, "doc_id long, page int, seg_id int, lead int")
 
 
 def margins(lines: DataFrame) -> DataFrame:

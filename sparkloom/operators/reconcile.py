@@ -72,30 +72,42 @@ def parts(segments: DataFrame, size: int = 1000, *by: str) -> DataFrame:
     return segments.withColumn("part", F.dense_rank().over(Window.partitionBy(*by).orderBy(bucket)).cast("long"))
 
 
+#: Numbers of files or ids that one task puts in order.
+STEP = 1 << 16
+
+
+def _slot(number: Column) -> Column:
+    return F.floor(number / STEP).cast("long")
+
+
 def offsets(files: DataFrame) -> DataFrame:
-    """Adds offset, the sum of max_id of the files before; one row per file."""
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("offset", F.coalesce(F.sum("max_id").over(before), F.lit(0)))
+    """Adds offset, the sum of max_id of the files before by ord, a whole number; one row per file.
+
+    Sums run inside slots of ``STEP`` numbers, whose totals are summed first: the window without a key sees one row per slot.
+    """
+    rows = files.withColumn("_slot", _slot(F.col("ord")))
+    totals = rows.groupBy("_slot").agg(F.sum("max_id").alias("_total"))
+    before = totals.select("_slot", F.coalesce(F.sum("_total").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum("max_id").over(Window.partitionBy("_slot").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", own).join(before, "_slot").withColumn("offset", F.col("_base") + F.col("_own")).drop("_slot", "_base", "_own")
 
 
 def to_file(ids: DataFrame, files: DataFrame) -> DataFrame:
-    """(gid, file_id, id): the file whose range holds a global id and the id in it; null if none does.
+    """(gid, file_id, id) of each distinct global id: the file whose range holds it and the id in it; null if none does.
 
-    Both sides are put in order in one column, and each id takes the last file that starts before it. The window's
-    keys are ranges of ids, with each range given the file that is open at its start, so no task gets all ids.
+    Ids and the starts of files are put in order in one column, and each id takes the last file that starts before it. This runs inside slots
+    of ``STEP`` ids; the file that is open at a slot's start comes from a window that sees one row per slot.
     """
-    placed = offsets(files).select("file_id", (F.col("offset") + 1).alias("first"), (F.col("offset") + F.col("max_id")).alias("last"))
-    step = 1 << 16
-    spread = placed.where("last >= first").withColumn(
-        "slot", F.explode(F.sequence(F.floor(F.col("first") / step).cast("long"), F.floor(F.col("last") / step).cast("long")))
-    )
-    return (
-        ids.withColumn("slot", F.floor(F.col("gid") / step).cast("long"))
-        .join(spread, ["slot"], "left")
-        .groupBy("gid")
-        .agg(F.min(F.when(F.col("gid").between(F.col("first"), F.col("last")), F.struct("first", "file_id"))).alias("f"))
-        .select("gid", F.col("f.file_id").alias("file_id"), (F.col("gid") - F.col("f.first") + 1).alias("id"))
-    )
+    own = F.struct((F.col("offset") + 1).alias("first"), (F.col("offset") + F.col("max_id")).alias("last"), "file_id")
+    starts = offsets(files).where("max_id > 0").select(own.alias("f")).select(_slot(F.col("f.first")).alias("slot"), F.col("f.first").cast("long").alias("at"), F.lit(0).alias("o"), "f")
+    wanted = ids.select(F.col("gid").cast("long").alias("at")).distinct().select(_slot(F.col("at")).alias("slot"), "at", F.lit(1).alias("o"))
+    both = starts.unionByName(wanted, allowMissingColumns=True)
+    open_ = F.last("m", ignorenulls=True).over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    slots = both.groupBy("slot").agg(F.max("f").alias("m")).select("slot", open_.alias("open"))
+    last = F.last("f", ignorenulls=True).over(Window.partitionBy("slot").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("f", last).where("o = 1").join(slots, "slot").select("at", F.coalesce("f", "open").alias("f"))
+    holds = F.col("at") <= F.col("f.last")
+    return found.select(F.col("at").alias("gid"), F.when(holds, F.col("f.file_id")).alias("file_id"), F.when(holds, F.col("at") - F.col("f.first") + 1).alias("id"))
 
 
 def by_occurrence(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
@@ -178,12 +190,17 @@ def page_ranges(text: Column, pages: Column) -> Column:
 
 
 def marker_issues(source: Column, target: Column) -> Column:
-    """(missing, broken) counts of numbered tags: in the source but not in the target, and unknown or unpaired in the target."""
+    """(missing, broken) counts of numbered tags: in the source but not in the target; unknown, or not opened before it is closed or never
+    closed, in the target."""
     tag = F.lit("</?[0-9]+/?>")
     a, b = F.array_distinct(F.regexp_extract_all(source, tag, F.lit(0))), F.regexp_extract_all(target, tag, F.lit(0))
-    opens = F.filter(b, lambda t: t.rlike("^<[0-9]+>$"))
-    closes = F.transform(F.filter(b, lambda t: t.rlike("^</")), lambda t: F.replace(t, F.lit("/"), F.lit("")))
-    lone = F.size(F.array_except(opens, closes)) + F.size(F.array_except(closes, opens))
+    opens = F.array_distinct(F.filter(b, lambda t: t.rlike("^<[0-9]+>$")))
+    closes = F.array_distinct(F.filter(b, lambda t: t.startswith("</")))
+    end = lambda t: F.replace(t, F.lit("<"), F.lit("</"))
+    # The last closing tag must come after the first opening one.
+    last = lambda t: F.size(b) + 1 - F.array_position(F.reverse(b), t)
+    unpaired = F.filter(opens, lambda t: ~F.array_contains(b, end(t)) | (F.array_position(b, t) > last(end(t))))
+    lone = F.size(unpaired) + F.size(F.filter(closes, lambda t: ~F.array_contains(b, F.replace(t, F.lit("/"), F.lit("")))))
     return F.struct(F.size(F.array_except(a, b)).alias("missing"), (F.size(F.array_except(b, a)) + lone).alias("broken"))
 
 

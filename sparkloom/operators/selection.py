@@ -118,5 +118,17 @@ def missing_glyphs(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
 
 def next_file(files: DataFrame, current: int) -> DataFrame:
     """The next file with work after the current one, going round; files (ord, todo)."""
-    n = files.count()
-    return files.where("todo > 0").orderBy(F.pmod(F.col("ord") - current - 1, F.lit(max(n, 1)))).limit(1)
+    return files.where("todo > 0").orderBy((F.col("ord") <= current).cast("int"), "ord").limit(1)
+
+
+def shown(rows: DataFrame, order: str, most: int, *by: str) -> DataFrame:
+    """The first ``most`` rows of each list, with their place (from 1) and more, the number of rows left out."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long")
+    size = rows.groupBy(*by).agg(F.greatest(F.lit(0).cast("long"), F.count("*") - most).alias("more"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).join(size, list(by))
+
+
+def dealt(rows: DataFrame, key: str, seed: int, *by: str) -> DataFrame:
+    """Adds dealt: the place of each row in its list (from 1) once it is shuffled; the seed decides, whatever the partitioning."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return rows.withColumn("dealt", F.row_number().over(Window.partitionBy(*by).orderBy(order, key)).cast("long"))

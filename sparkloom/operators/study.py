@@ -57,15 +57,17 @@ def stage(known: Column) -> Column:
     return F.when(F.coalesce(known, F.lit(0)) <= 0, "new").when(known < 4, "learning").otherwise("mature")
 
 
-def round_rows(cards: DataFrame, now: Column, cap: int, shown: int = 0) -> DataFrame:
-    """Adds place: new words first, those seen before ahead, up to the day's cap but never fewer than were seen; then the
-    due ones, longest due first. ``cards(id, known, last, seen)``."""
-    seen_fresh = cards.where("known <= 0 and seen").count()
-    most = max(max(0, cap - shown), seen_fresh)
-    fresh = cards.where("known <= 0").orderBy(F.desc("seen"), "id").limit(most).select("id", F.lit(0).alias("g"), F.when(F.col("seen"), 0).otherwise(1).alias("o"), F.lit(None).cast("timestamp_ntz").alias("due"))
-    due = cards.where("known > 0").select("id", F.lit(1).alias("g"), F.lit(0).alias("o"), due_at(F.col("known"), F.col("last")).cast("timestamp_ntz").alias("due")).where(F.col("due") <= now)
-    both = fresh.unionByName(due)
-    return both.select("id", F.row_number().over(Window.orderBy("g", "o", "due", "id")).alias("place"))
+def round_rows(cards: DataFrame, now: Column, cap: int, shown: int = 0, user: str = "user_id") -> DataFrame:
+    """(user, id, place) of each user's round: new words first, those seen before ahead, up to the day's cap but never fewer than
+    were seen; then the due ones, longest due first. ``cards(user, id, known, last, seen)``."""
+    due = F.when(F.col("known") > 0, due_at(F.col("known"), F.col("last")).cast("timestamp_ntz"))
+    fresh = F.col("known") <= 0
+    rows = cards.select(user, "id", fresh.alias("fresh"), (fresh & F.coalesce("seen", F.lit(False))).alias("ahead"), due.alias("due"))
+    own = Window.partitionBy(user, "fresh")
+    rows = rows.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("ahead"), "id")), "most": F.greatest(F.lit(max(0, cap - shown)), F.sum(F.col("ahead").cast("int")).over(own))})
+    rows = rows.where((F.col("fresh") & (F.col("rank") <= F.col("most"))) | (F.col("due") <= now))
+    place = F.row_number().over(Window.partitionBy(user).orderBy(F.desc("fresh"), F.desc("ahead"), "due", "id"))
+    return rows.select(user, "id", place.alias("place"))
 
 
 def daily_new(log: DataFrame, *by: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stopwords
+from ..functions.arrays import bound
 from ..functions.text import CJK, PIECE, WORD, word_form
 
 
@@ -22,7 +23,7 @@ def tokens(docs: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, pos, form, key) of words that are not stop words; pos counts all words of the document."""
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     rows = docs.select("doc_id", *keep, F.posexplode(words).alias("pos", "raw"))
-    rows = rows.withColumn("form", word_form(F.col("raw"))).where((F.col("form") != "") & ~is_stop(F.col("form")))
+    rows = rows.withColumn("form", word_form(F.col("raw"))).where(~is_stop(F.col("form")))
     return rows.select("doc_id", *keep, "pos", "form", F.lower("form").alias("key"))
 
 
@@ -57,37 +58,34 @@ def unknown(words: DataFrame, known: DataFrame, limit: int = 30) -> DataFrame:
 def groups(docs: DataFrame, least: int = 2) -> DataFrame:
     """(phrase, size, n): two or three words with only white space between, the outer ones no stop words.
 
-    A pair that occurs no more often than the counted triples around it is left out.
+    A pair that occurs no more often than the counted triples around it is left out. Texts are taken apart once: pieces are
+    judged one by one, neighbours are put together inside the row, and pairs and triples are counted in one aggregate.
     """
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
-    row = F.transform(pieces, lambda p: F.when(p.rlike("^\\p{L}"), F.lower(word_form(p))))
-    seen = docs.select("doc_id", F.explode(F.array(row)).alias("r"))
-    seen = seen.select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("r") - 1, F.lit(1))),
-                lambda i: F.struct(F.get("r", i - 1).alias("a"), F.get("r", i).alias("b"), F.get("r", i + 1).alias("c")),
-            )
-        ).alias("g")
-    ).select("g.a", "g.b", "g.c")
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    pair = a.isNotNull() & b.isNotNull() & ~is_stop(a)
-    made = F.array(
-        F.when(pair & ~is_stop(b), F.struct(F.concat_ws(" ", a, b).alias("phrase"), F.lit(2).alias("size"))),
-        F.when(pair & c.isNotNull() & ~is_stop(c), F.struct(F.concat_ws(" ", a, b, c).alias("phrase"), F.lit(3).alias("size"))),
-    )
-    counted = (
-        seen.select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("m")).select("m.*").groupBy("phrase", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    )
+
+    def judged(piece: Column) -> Column:
+        form = F.lower(word_form(piece))
+        return F.struct(F.when(piece.rlike("^\\p{L}"), form).alias("w"), is_stop(form).alias("s"))
+
+    def near(all_: Column) -> Column:
+        after = lambda n: F.slice(all_, F.lit(n), F.size(all_))
+        three = F.arrays_zip(all_.alias("a"), after(2).alias("b"), after(3).alias("c"))
+        return F.filter(three, lambda x: x["a"]["w"].isNotNull() & ~x["a"]["s"] & x["b"]["w"].isNotNull())
+
+    seen = docs.select(F.explode(bound(F.transform(pieces, judged), near)).alias("x")).select("x.a", "x.b", "x.c")
+    a, b, c = (F.col(f"{x}.w") for x in "abc")
+    kinds = F.array(F.when(~F.col("b.s"), F.lit(2)), F.when(c.isNotNull() & ~F.col("c.s"), F.lit(3)))
+    sized = seen.select(a.alias("a"), b.alias("b"), c.alias("c"), F.explode(kinds).alias("size")).where("size is not null")
+    phrase = F.when(F.col("size") == 2, F.concat_ws(" ", "a", "b")).otherwise(F.concat_ws(" ", "a", "b", "c"))
+    counted = sized.groupBy(phrase.alias("phrase"), "size").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # A counted triple stands for itself, and for its two pairs as what is inside triples.
     words = F.split("phrase", " ")
-    inside = (
-        counted.where("size = 3")
-        .select(F.explode(F.array(F.concat_ws(" ", words[0], words[1]), F.concat_ws(" ", words[1], words[2]))).alias("phrase"), "n")
-        .groupBy("phrase")
-        .agg(F.sum("n").alias("inside"))
-    )
-    both = counted.join(inside, "phrase", "left")
-    return both.where((F.col("size") == 3) | (F.col("n") > F.coalesce("inside", F.lit(0)))).select("phrase", "size", "n")
+    row = lambda p, size, n, inside: F.struct(p.alias("phrase"), F.lit(size).alias("size"), n.alias("n"), inside.alias("inside"))
+    n, none = F.col("n"), F.lit(0).cast("long")
+    pairs = F.array(row(F.col("phrase"), 3, n, none), row(F.concat_ws(" ", words[0], words[1]), 2, none, n), row(F.concat_ws(" ", words[1], words[2]), 2, none, n))
+    rows = counted.select(F.explode(F.when(F.col("size") == 3, pairs).otherwise(F.array(row(F.col("phrase"), 2, n, none)))).alias("r")).select("r.*")
+    both = rows.groupBy("phrase", "size").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    return both.where((F.col("n") > 0) & ((F.col("size") == 3) | (F.col("n") > F.col("inside")))).select("phrase", "size", "n")
 
 
 #: Scripts that decide a language by themselves, in order (fixed values).

@@ -9,15 +9,15 @@ from ..sources import exchange, html
 from ..sources.tables import table
 from .registry import query
 
-ROWS_SQL = """r AS (SELECT conv_id AS file, turn + 1 AS id, turn // 10 AS page, text AS source, CASE WHEN turn % 3 = 0 THEN 'T: ' || substring(text, 1, 40) WHEN turn % 3 = 1 THEN '' END AS target FROM conversations)"""
+ROWS_SQL = """r AS (SELECT conv_id AS file, turn + 1 AS id, turn // 10 AS page, text AS source, CASE WHEN turn % 3 = 0 THEN 'T: ' || text WHEN turn % 3 = 1 THEN '' END AS target FROM conversations)"""
 XML = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
 def rows(spark, sf_dir):
-    """Turns as segments; every third has a target, and every third an empty one."""
+    """Turns as segments; every third has a target, the whole turn, and every third an empty one."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("id"), F.floor(F.col("turn") / 10).cast("int").alias("page"), F.col("text").alias("source"))
     kind = (F.col("id") - 1) % 3
-    return c.withColumn("target", F.when(kind == 0, F.concat(F.lit("T: "), F.substring("source", 1, 40))).when(kind == 1, ""))
+    return c.withColumn("target", F.when(kind == 0, F.concat(F.lit("T: "), F.col("source"))).when(kind == 1, ""))
 
 
 @query(f"WITH {ROWS_SQL} SELECT file, string_agg('[[' || id || ']]' || chr(10) || coalesce(nullif(target, ''), source) || chr(10), chr(10) ORDER BY id) AS text FROM r GROUP BY file")

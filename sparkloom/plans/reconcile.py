@@ -79,13 +79,13 @@ def progress(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT doc_id + 1 AS id, source, length(text) AS n FROM documents WHERE doc_id % 100 < 60),
+    """WITH s AS (SELECT doc_id + 1 AS id, source, length(text) AS n FROM documents),
 p AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY floor((id - 1) / 20)) AS part FROM s)
 SELECT source, part, count(*) AS segments, CAST(sum(n) AS BIGINT) AS chars, sum(n) > 40000 AS large FROM p GROUP BY source, part"""
 )
 def part_buckets(spark, sf_dir):
     """Parts of 20 ids for each source, with their size; a part over 40,000 characters is large."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 100 < 60").select((F.col("doc_id") + 1).alias("id"), "source", F.length("text").alias("n"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "source", F.length("text").alias("n"))
     got = ops.parts(d, 20, "source").groupBy("source", "part").agg(F.count("*").alias("segments"), F.sum("n").alias("chars"))
     return got.withColumn("large", F.col("chars") > 40000)
 
@@ -147,24 +147,25 @@ def renumbered_segments(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT source, doc_id AS n FROM documents WHERE doc_id % 9 <> 4), g AS (SELECT *, n - row_number() OVER (PARTITION BY source ORDER BY n) AS g FROM n),
+    """WITH n AS (SELECT DISTINCT source, doc_id AS n FROM documents), g AS (SELECT *, n - row_number() OVER (PARTITION BY source ORDER BY n) AS g FROM n),
 r AS (SELECT source, g, min(n) AS a, max(n) AS b FROM g GROUP BY source, g)
 SELECT source, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM r GROUP BY source"""
 )
 def id_ranges(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 9 <> 4").select("source", F.col("doc_id").alias("n"))
+    """Ids of each source, which have gaps where other sources' ids are."""
+    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("n"))
     return ops.id_ranges(d, "source")
 
 
 @query(
-    f"""WITH {TARGETS_SQL}, s AS (SELECT doc_id AS id, text FROM documents), m AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 5 = 0),
+    f"""WITH {TARGETS_SQL}, s AS (SELECT doc_id AS id, text FROM documents), m AS (SELECT doc_id AS id, text FROM documents),
 h AS (SELECT lower(trim(regexp_replace(text, '[ \\t\\n\\r\\x{{00A0}}]+', ' ', 'g'))) AS key, min(id) AS first FROM s JOIN t USING (id) WHERE trim(target) <> '' GROUP BY 1)
 SELECT m.id, t.target FROM m LEFT JOIN h ON lower(trim(regexp_replace(m.text, '[ \\t\\n\\r\\x{{00A0}}]+', ' ', 'g'))) = h.key LEFT JOIN t ON t.id = h.first"""
 )
 def bookmark_targets(spark, sf_dir):
-    """Every fifth document is a bookmark; the texts here have neither leader dots nor section numbers."""
+    """Every document is a bookmark; the texts here have neither leader dots nor section numbers."""
     d = known(spark, sf_dir).select("id", "text")
-    return ops.bookmark_targets(d.where("id % 5 = 0"), d.join(targets(spark, sf_dir).select("id", "target"), "id"))
+    return ops.bookmark_targets(d, d.join(targets(spark, sf_dir).select("id", "target"), "id"))
 
 
 @query(

@@ -26,4 +26,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["word_top_forms"](spark, sf_dir)
 
 
-from . import formats, geometry, lines, reconcile, study, words  # noqa: E402, F401
+from . import formats, geometry, lines, packages, pages, reconcile, selections, study, texts, words  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stopwords
 from ..functions.text import CJK, PIECE, WORD
 from ..operators import words
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .registry import query
 
 
@@ -28,7 +28,7 @@ tokens AS (SELECT doc_id, text, pos, form, lower(form) AS key FROM forms
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT key, count(*) AS n FROM tokens GROUP BY key")
@@ -75,12 +75,12 @@ def top_unknown_words(spark, sf_dir):
     f"""WITH {TOKENS_SQL},
 n AS (SELECT key, count(*) AS n FROM tokens GROUP BY key),
 known AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\\p{{L}}+'))) AS key FROM benchmark)
-SELECT key, n, key IN (SELECT key FROM known) AS known FROM n WHERE n >= 20"""
+SELECT key, n, key IN (SELECT key FROM known) AS known FROM n"""
 )
 def known_words(spark, sf_dir):
     """Words of the documents that a glossary has, or not."""
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("key")).distinct()
-    seen = words.frequencies(docs(spark, sf_dir)).where("n >= 20")
+    seen = words.frequencies(docs(spark, sf_dir))
     return seen.join(terms.withColumn("known", F.lit(True)), "key", "left").select("key", "n", F.coalesce("known", F.lit(False)).alias("known"))
 
 
@@ -138,7 +138,7 @@ SELECT lang, key, n, place FROM r WHERE place <= 25"""
 def top_words_by_language(spark, sf_dir):
     from pyspark.sql import Window
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     n = words.tokens(d, "lang").groupBy("lang", "key").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     return n.withColumn("place", place.cast("long")).where("place <= 25")

@@ -7,9 +7,10 @@ file, so a file's segments meet in one row; files are what a person translates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, cut, pieces
 from ..functions.text import ascii_digits, xml_escaped
 
 #: Two opening and two closing brackets of any of these kinds; ids in any decimal digits.
@@ -70,22 +71,17 @@ def write_xliff(rows: DataFrame, source: str = "en", target: str = "") -> DataFr
 
 
 def read_markers(files: DataFrame) -> DataFrame:
-    """(file, id, target) of marked texts: a marker starts a line, its rest and the lines up to the next are the value."""
-    lines = F.split(F.regexp_replace("text", "\\r\\n?", "\n"), "\n")
-    state = F.struct(F.lit(None).cast("long").alias("id"), F.lit("").alias("buf"), F.array().cast("array<struct<id:bigint,target:string>>").alias("out"))
+    """(file, id, target) of marked texts: a marker starts a line, its rest and the lines up to the next are the value.
 
-    def flushed(s: Column) -> Column:
-        keep = s["id"].isNotNull() & (_stripped(s["buf"]) != "")
-        return F.when(keep, F.concat(s["out"], F.array(F.struct(s["id"].alias("id"), _stripped(s["buf"]).alias("target"))))).otherwise(s["out"])
-
-    def step(s: Column, x: Column) -> Column:
-        no = ascii_digits(F.regexp_extract(x, MARKER, 1)).try_cast("long")
-        new = F.struct(no.alias("id"), F.regexp_extract(x, MARKER, 2).alias("buf"), flushed(s).alias("out"))
-        more = F.struct(s["id"].alias("id"), F.concat(s["buf"], F.lit("\n"), x).alias("buf"), s["out"].alias("out"))
-        return F.when(x.rlike(MARKER) & no.isNotNull(), new).otherwise(more)
-
-    rows = files.select("file", F.posexplode(F.aggregate(lines, state, step, flushed)).alias("ord", "s")).select("file", "ord", "s.*")
-    return rows.groupBy("file", "id").agg(F.max_by("target", "ord").alias("target"))
+    Lines are rows, numbered by the markers up to them in their file; what has no marker before it is left out.
+    """
+    lines = files.select("file", F.posexplode(F.split(F.regexp_replace("text", "\\r\\n?", "\n"), "\n")).alias("ord", "x"))
+    no = F.when(F.col("x").rlike(MARKER), ascii_digits(F.regexp_extract("x", MARKER, 1)).try_cast("long"))
+    marked = lines.withColumn("no", no).withColumn("nth", F.count("no").over(Window.partitionBy("file").orderBy("ord")))
+    part = F.struct("ord", F.when(F.col("no").isNotNull(), F.regexp_extract("x", MARKER, 2)).otherwise(F.col("x")).alias("x"))
+    values = marked.where("nth > 0").groupBy("file", "nth").agg(F.max("no").alias("id"), F.array_sort(F.collect_list(part)).alias("parts"))
+    rows = values.select("file", "nth", "id", _stripped(F.array_join(F.transform("parts", lambda p: p["x"]), "\n")).alias("target"))
+    return rows.where("target <> ''").groupBy("file", "id").agg(F.max_by("target", "nth").alias("target"))
 
 
 def read_json(files: DataFrame) -> DataFrame:
@@ -212,25 +208,34 @@ def keyword_block(text: Column) -> Column:
 
 
 def deck_text(rows: DataFrame, name: str, tag: str) -> DataFrame:
-    """One text of a card deck: a head of directives, then term, translation and tag by tabs, examples in italics below."""
+    """(ord, text): lines of a card deck, in order, for the text writer: a head of directives (ord -5 to -1), then term, translation and tag by tabs,
+    examples in italics below."""
+
     def clean(c: str) -> Column:
         return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\\t", " "), "\\r?\\n", "<br>")
 
     side = lambda c, e: F.concat(clean(c), F.when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("<br><i>"), clean(e), F.lit("</i>"))).otherwise(""))
     line = F.concat_ws("\t", side("term", "example"), side("translation", "example_tr"), F.lit(tag))
-    own = rows.agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("all"))
-    head = f"#separator:tab\n#html:true\n#notetype:Basic\n#deck:{name}\n#tags column:3\n"
-    return own.select(F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+    head = ("#separator:tab", "#html:true", "#notetype:Basic", f"#deck:{name}", "#tags column:3")
+    top = rows.sparkSession.range(len(head)).select((F.col("id") - len(head)).alias("ord"), F.element_at(F.array(*map(F.lit, head)), (F.col("id") + 1).cast("int")).alias("text"))
+    return top.unionByName(rows.select(F.col("ord").cast("long").alias("ord"), line.alias("text"))).repartitionByRange("ord").sortWithinPartitions("ord")
 
 
 def spliced(edits: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, text): replacements (file, start, end, value) put into each file's text by their places; files without any stay as they are."""
-    own = edits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("e"))
-    text = F.col("text")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.struct(x["end"].cast("int").alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"].cast("int") - s["at"]), x["value"]).alias("out"))
-    made = F.aggregate("e", state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return files.join(own, "file", "left").select("file", F.coalesce(made, text).alias("text"))
+    """(file, text): replacements (file, start, end, value) put into each file's text by their places; files without any stay as they are.
+
+    Places count code points and don't overlap. Time is in proportion to the text.
+    """
+    own = edits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value"))).alias("e"))
+
+    def made(x: Column) -> Column:
+        part = lambda a, b: cut(x["parts"], a, b - a)
+        before = lambda i: F.when(i > 0, F.get(x["e"], i - 1)["end"]).otherwise(0)
+        changed = F.transform(x["e"], lambda e, i: F.concat(part(before(i), e["start"]), e["value"]))
+        return F.concat(F.array_join(changed, ""), part(F.element_at(x["e"], -1)["end"], x["n"]))
+
+    new = bound(F.struct(pieces(F.col("text")).alias("parts"), F.length("text").alias("n"), F.col("e").alias("e")), made)
+    return files.join(own, "file", "left").select("file", F.when(F.col("e").isNull(), F.col("text")).otherwise(new).alias("text"))
 
 
 def read_any(files: DataFrame) -> DataFrame:

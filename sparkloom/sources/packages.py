@@ -215,6 +215,73 @@ def write_docx(segments: list[tuple[int, str]]) -> bytes:
     return out.getvalue()
 
 
+def _zip(files: list[tuple[str, bytes]]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files:
+            z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data)
+    return out.getvalue()
+
+
+def _written(rows: DataFrame, make: Callable[[list], bytes]) -> DataFrame:
+    """(path, content) from (path, an array of what ``make`` takes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content = pa.array([make(batch.column(1)[i].as_py())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), content], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def write_zips(rows: DataFrame) -> DataFrame:
+    """(path, content) of zipped packages from (path, entries): an array of (name, text), in this order."""
+    return _written(rows.select("path", "entries"), lambda files: _zip([(f["name"], f["text"].encode()) for f in files]))
+
+
+def write_docs(rows: DataFrame) -> DataFrame:
+    """(path, content) of Word files from (path, segments): an array of (id, text)."""
+    return _written(rows.select("path", "segments"), lambda own: write_docx([(s["id"], s["text"]) for s in own]))
+
+
+def deck(rows: list[dict], name: str) -> bytes:
+    """A card deck with one note and card for each row (term, translation, example, example_tr)."""
+    fields = ("Front", "Back", "Example", "Example translation")
+    model, own = 1_600_000_000_000, 1_600_000_000_001
+    models = {str(model): {
+        "id": model, "name": "Basic", "type": 0, "mod": 0, "usn": -1, "sortf": 0, "did": own, "css": "", "latexPre": "", "latexPost": "", "vers": [], "tags": [], "req": [[0, "any", [0]]],
+        "flds": [{"name": n, "ord": i, "sticky": False, "rtl": False, "font": "Arial", "size": 20, "media": []} for i, n in enumerate(fields)],
+        "tmpls": [{"name": "Card 1", "ord": 0, "qfmt": "{{Front}}<br><i>{{Example}}</i>", "afmt": "{{FrontSide}}<hr id=answer>{{Back}}<br><i>{{Example translation}}</i>", "did": None, "bqfmt": "", "bafmt": ""}],
+    }}
+    decks = {str(own): {"id": own, "name": name, "mod": 0, "usn": -1, "desc": "", "dyn": 0, "conf": 1, "collapsed": False, "extendNew": 0, "extendRev": 0, "newToday": [0, 0], "revToday": [0, 0], "lrnToday": [0, 0], "timeToday": [0, 0]}}
+    db = sqlite3.connect(":memory:")
+    try:
+        # Tables and columns of the collection format.
+        db.executescript(
+            "create table col (id integer primary key, crt integer, mod integer, scm integer, ver integer, dty integer, usn integer, ls integer, conf text, models text, decks text, dconf text, tags text);"
+            "create table notes (id integer primary key, guid text, mid integer, mod integer, usn integer, tags text, flds text, sfld text, csum integer, flags integer, data text);"
+            "create table cards (id integer primary key, nid integer, did integer, ord integer, mod integer, usn integer, type integer, queue integer, due integer, ivl integer, factor integer, reps integer, lapses integer, left integer, odue integer, odid integer, flags integer, data text);"
+            "create table revlog (id integer primary key, cid integer, usn integer, ease integer, ivl integer, lastIvl integer, factor integer, time integer, type integer);"
+            "create table graves (usn integer, oid integer, type integer);"
+        )
+        db.execute("insert into col values (1, 0, 0, 0, 11, 0, 0, 0, '{}', ?, ?, '{}', '{}')", (json.dumps(models), json.dumps(decks)))
+        for i, r in enumerate(rows, 1):
+            value = "\x1f".join(r[c] or "" for c in ("term", "translation", "example", "example_tr"))
+            guid = hashlib.sha1(f"{name}\x1f{r['term']}".encode()).hexdigest()[:10]
+            db.execute("insert into notes values (?, ?, ?, 0, -1, '', ?, ?, ?, 0, '')", (own + i, guid, model, value, r["term"], note_checksum(r["term"])))
+            db.execute("insert into cards values (?, ?, ?, 0, 0, -1, 0, 0, ?, 0, 0, 0, 0, 0, 0, 0, 0, '')", (own + i, own + i, own, i))
+        db.commit()
+        return _zip([("collection.anki2", db.serialize()), ("media", b"{}")])
+    finally:
+        db.close()
+
+
+def write_decks(rows: DataFrame, name: str) -> DataFrame:
+    """(path, content) of card decks from (path, notes): an array of (term, translation, example, example_tr)."""
+    return _written(rows.select("path", "notes"), lambda notes: deck(notes, name))
+
+
 def note_checksum(term: str) -> int:
     """A deck note's checksum: the first eight hex digits of SHA-1."""
     return int(hashlib.sha1(term.encode()).hexdigest()[:8], 16)

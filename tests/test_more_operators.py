@@ -1,12 +1,13 @@
 """Edge cases of selections, layout, Markdown and further exchange functions."""
 
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import stopwords
+from sparkloom.functions import arrays, stopwords
 from sparkloom.functions import text as fn
-from sparkloom.operators import geometry, lines, selection, study
+from sparkloom.operators import geometry, lines, reconcile, selection, study
 from sparkloom.sources import exchange, markdown
 
 from .test_operators import one
@@ -63,7 +64,7 @@ def test_lists_and_decks(spark):
     deck = lambda *w: spark.createDataFrame([(x,) for x in w], "term string")
     assert study.deck_added(deck("a", "b", "c"), v).first().added and not study.deck_added(deck("a", "c", "d", "e"), v).first().added
     rows = spark.createDataFrame([("a\tb", "c", "x\ny", "", 1)], schema + ", ord int")
-    assert exchange.deck_text(rows, "D", "t").first().text.splitlines()[-1] == "a b<br><i>x<br>y</i>\tc\tt"
+    assert [r.text for r in exchange.deck_text(rows, "D", "t").orderBy("ord").collect()][-1] == "a b<br><i>x<br>y</i>\tc\tt"
 
 
 def test_layout(spark):
@@ -85,12 +86,68 @@ def test_layout(spark):
     assert {r.p: r.align for r in geometry.alignment(al.withColumn("rotation", F.lit(0)), "p").collect()} == {"j": "justify", "r": "right", "c": "center", "s": "center"}
 
 
-def test_markdown():
-    text = "---\na: b\n---\n# Title #\nsome\ntext\n\n```\ncode\n```\n- one\n  more\n- [x] two\n> quoted\n|a|b|\n|---|---|\n|c \\| d|e|\n<div>\nhtml\n</div>\n\n[x]: y\n***\nUnder\n=====\n"
-    assert markdown.blocks(text) == [
-        ("h", 1, "Title"), ("p", 0, "some\ntext"), ("li", 0, "one\n  more"), ("li", 0, "two"), ("quote", 0, "quoted"), ("td", 0, "a"), ("td", 0, "b"), ("td", 0, "c \\| d"), ("td", 0, "e"), ("h", 1, "Under"),
-    ]
-    assert markdown.blocks(None) == [] and markdown.blocks("") == []
+MARKDOWN = {
+    "---\na: b\n---\n# Title #\nsome\ntext\n\n```\ncode\n```\n- one\n  more\n- [x] two\n> quoted": [
+        ("h", 1, "Title"), ("p", 0, "some\ntext"), ("li", 0, "one\n  more"), ("li", 0, "two"), ("quote", 0, "quoted"),
+    ],
+    "|a|b|\n|---|---|\n|c \\| d|e|\n\nx | y\n:--- | ---:\nz | w": [("td", 0, v) for v in ("a", "b", "c \\| d", "e", "x", "y", "z", "w")],
+    "<div>\n# no\n</div>\n\n[x]: y\n***\n* * *\nUnder\n=====\ntwo\nlines\n---\n---\nend": [("h", 1, "Under"), ("h", 2, "two\nlines"), ("p", 0, "end")],
+    "~~~py\n```\n# no\n~~~\n1. n\n   ```\n   in\n2) m\n  * k\n###### six ##\n####### seven\n    > deep": [
+        ("li", 0, "n\n   ```\n   in"), ("li", 0, "m"), ("li", 0, "k"), ("h", 6, "six"), ("p", 0, "####### seven"), ("quote", 0, "deep"),
+    ],
+    "---\nno end of front matter": [("p", 0, "no end of front matter")], "```\nopen to the end\n# no": [], "a\r\nb\r\rc": [("p", 0, "a\nb"), ("p", 0, "c")],
+    "para\n# head\nmore\n- item\n\n  late": [("p", 0, "para"), ("h", 1, "head"), ("p", 0, "more"), ("li", 0, "item"), ("p", 0, "late")],
+    "": [], "\n \n": [],
+}
+
+
+def test_markdown(spark):
+    rows = [*enumerate(MARKDOWN), (99, None)]
+    got = {}
+    for r in markdown.segments(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.no, r.tag, r.level, r.text))
+    for i, want in enumerate(MARKDOWN.values()):
+        assert [x[1:] for x in sorted(got.get(i, []))] == want and [x[0] for x in sorted(got.get(i, []))] == list(range(len(want)))
+    assert 99 not in got
+
+
+def test_long_markdown(spark):
+    text = "\n".join(f"# h{i}\n- item {i}\n  more\n> q" for i in range(5000))
+    assert markdown.segments(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 15000
+
+
+def test_files_of_ids_across_slots(spark):
+    """Large and empty files, ids in no file, and slots that no file starts in."""
+    sizes = [3, 0, 200_000, 5, 70_000, 1, 0]
+    files = spark.createDataFrame([(i * 40_000, 100 + i, n) for i, n in enumerate(sizes)], "ord long, file_id long, max_id long")
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    assert {r.file_id: r.offset for r in reconcile.offsets(files).collect()} == {100 + i: s for i, s in enumerate(starts)}
+    ids = [0, 1, 3, 4, 5, 65_536, 131_072, 200_003, 200_004, 200_008, 200_009, 270_008, 270_009, 270_010, 900_000]
+    want = {g: next(((100 + i, g - s) for i, (s, n) in enumerate(zip(starts, sizes)) if s < g <= s + n), (None, None)) for g in ids}
+    got = reconcile.to_file(spark.createDataFrame([(g,) for g in [*ids, *ids]], "gid long"), files).collect()
+    assert {r.gid: (r.file_id, r.id) for r in got} == want and len(got) == len(ids)
+
+
+def test_tags_that_close_before_they_open(spark):
+    for target, want in (("<1>a</1>", (0, 0)), ("</1>a<1>", (0, 1)), ("<1>a", (0, 1)), ("a</1>", (1, 2)), ("<1><1>a</1>", (0, 0)), ("<2/>", (1, 1))):
+        assert tuple(one(spark, reconcile.marker_issues(F.lit("<1>"), F.col("x")), x=target)) == want
+
+
+def test_cut_of_long_texts(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abc🙂é\n") for _ in range(5000))
+    spans = [(rng.randrange(5000), rng.randrange(3000)) for _ in range(200)] + [(0, 5000), (1023, 1), (1024, 1024), (4999, 1), (7, 0)]
+    df = spark.createDataFrame([(text, a, min(n, 5000 - a)) for a, n in spans], "text string, a int, n int")
+    for r in df.select("a", "n", arrays.cut(arrays.pieces(F.col("text")), F.col("a"), F.col("n")).alias("got")).collect():
+        assert r.got == text[r.a : r.a + r.n]
+
+
+def test_running_maximum(spark):
+    rng = random.Random(4)
+    values = [rng.randrange(10**6) for _ in range(1000)]
+    made = arrays.running(F.col("v"), lambda x: x, F.greatest, lambda before, x: before, "int")
+    got = spark.createDataFrame([(values,), ([],)], "v array<int>").select(made.alias("m")).collect()
+    assert got[0].m == [max(values[:i], default=0) for i in range(1000)] and got[1].m == []
 
 
 def test_any_format(spark):

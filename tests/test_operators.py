@@ -132,9 +132,12 @@ def test_streak_needs_today_or_yesterday(spark):
 def test_round(spark):
     t = datetime(2024, 1, 1)
     rows = [(1, 0, None, False), (2, 0, None, True), (3, 1, t, True), (4, 6, t, True), (5, 0, None, False), (6, 2, t, True)]
-    cards = spark.createDataFrame(rows, "id int, known int, last timestamp_ntz, seen boolean")
-    got = study.round_rows(cards, F.lit("2024-01-10").cast("timestamp_ntz"), cap=2).orderBy("place").collect()
-    assert [r.id for r in got] == [2, 1, 3, 6]
+    both = [(u, *r) for u in (1, 2) for r in rows]
+    cards = spark.createDataFrame(both, "user_id int, id int, known int, last timestamp_ntz, seen boolean")
+    got = study.round_rows(cards, F.lit("2024-01-10").cast("timestamp_ntz"), cap=2).orderBy("user_id", "place").collect()
+    assert [(r.user_id, r.id) for r in got] == [(u, i) for u in (1, 2) for i in (2, 1, 3, 6)]
+    # No fewer new words than were seen, whatever the cap.
+    assert [r.id for r in study.round_rows(cards.where("user_id = 1"), F.lit("2024-01-10").cast("timestamp_ntz"), cap=2, shown=9).orderBy("place").collect()] == [2, 3, 6]
 
 
 def test_vocabulary(spark):
