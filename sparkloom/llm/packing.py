@@ -6,8 +6,9 @@ the open bins that keep every capacity, the one is chosen whose residual vector,
 capacities, has the smallest weighted norm after the piece is placed (``norm``), or the largest weighted
 dot-product with the piece (``dot``). Ties go to the oldest bin.
 
-Documents are dealt by a hash to groups of about ``group`` pieces, each packed by one task,
-so no group grows with the data; at the default size less than one bin in a thousand is wasted by it.
+Pieces that fill a sequence by themselves get one where they are, without a shuffle; every document has one other piece at
+most. Those are dealt by a hash to groups of about ``group`` pieces, each packed by one task,
+so no group grows with the number or the length of documents; at the default size less than one bin in a thousand is wasted by it.
 
 Defined results: a null or empty text has the end id only and is one piece; repeated rows are packed each;
 a null doc_id is kept.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import slices
+from .storage import staged
 from .tokens import encoder
 
 TOKENS = 1024
@@ -32,8 +34,8 @@ DOCUMENTS = 1024
 ATTENTION = TOKENS * TOKENS
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP = 8192
-#: Pieces that a worker remembers; fewer than the tokenizer's own bound, as other stages share the worker.
-REMEMBERED = 600_000
+#: Pieces that a worker remembers during a task, and after it; fewer than the tokenizer's own bound, as other stages may share the worker.
+REMEMBERED, KEPT = 600_000, 600_000
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -42,13 +44,13 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((s, size) for s in range(first, n, size))]
 
 
-def pieces(docs: DataFrame, path: str, end: int = 2, size: int = TOKENS, splits: str = "byte", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end: int = 2, size: int = TOKENS, splits: str = "byte", with_ids: bool = False, remembered: int = REMEMBERED, kept: int = KEPT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), and ids (little-endian unsigned 32 bits) if asked for."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, splits, REMEMBERED)
+        enc = encoder(path, splits, remembered)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts):
@@ -62,6 +64,7 @@ def pieces(docs: DataFrame, path: str, end: int = 2, size: int = TOKENS, splits:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in schema.split(", ")]
                 )
+        enc.trim(kept)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -134,9 +137,12 @@ def pack(
     return dealt.groupBy("packing_group").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 2, group: int = GROUP, **capacities) -> DataFrame:
-    """Pieces of all documents with their places: one row per piece."""
+def pack_documents(docs: DataFrame, path: str, end: int = 2, group: int = GROUP, remembered: int = REMEMBERED, kept: int = KEPT, **capacities) -> DataFrame:
+    """Pieces of all documents with their places: one row per piece. Sequences of one full piece have negative numbers."""
     size = capacities.get("tokens", TOKENS)
-    # Every document has one piece that may be short; only those can share a bin.
-    groups = max(1, round(docs.count() / group))
-    return pack(pieces(docs, path, end, size), groups, **capacities)
+    parts = staged(pieces(docs, path, end, size, remembered=remembered, kept=kept), "pieces")
+    if size**2 > capacities.get("attention", ATTENTION):
+        raise ValueError("a piece is larger than a bin")
+    full = parts.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    short = parts.where(F.col("length") < size)
+    return full.unionByName(pack(short, max(1, round(short.count() / group)), **capacities))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: Pieces that are remembered at most; beyond it the memory starts anew.
+#: Pieces that are remembered at most; beyond it all but the first quarter are forgotten.
 REMEMBERED = 1_500_000
 
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
@@ -74,6 +75,11 @@ class PieceEncoder:
             self.memory.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, [0, *(e + 1 for e in ends)], ends))
         self.memory.update(zip(rest, self._ask(rest)))
 
+    def trim(self, most: int) -> None:
+        """Forgets all but the ``most`` pieces learnt first, among which are the frequent ones."""
+        if len(self.memory) > most:
+            self.memory = dict(islice(self.memory.items(), most))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         memory = self.memory
@@ -81,8 +87,9 @@ class PieceEncoder:
             some = [self.pieces(t) for t in texts[a : a + 64]]
             fresh = set().union(*filter(None, some)).difference(memory)
             if len(memory) + len(fresh) > self.remembered:
-                memory.clear()
-                fresh = set().union(*filter(None, some))
+                self.trim(self.remembered // 4)
+                memory = self.memory
+                fresh = set().union(*filter(None, some)).difference(memory)
             if fresh:
                 self._learn(list(fresh))
             for text, pieces in zip(texts[a : a + 64], some):

@@ -132,6 +132,26 @@ def test_packing_awkward_rows(spark, docs, awkward, none):
     assert packing.pack_documents(none, FILES["byte"]).count() == 0
 
 
+def test_packing_in_many_groups(spark):
+    """Groups waste little: full pieces are sequences of their own, and each group ends with about one open bin."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = packing.pack_documents(docs, FILES["byte"]).select("sequence_id", "length").collect()
+    many = packing.pack_documents(docs, FILES["byte"], group=125).select("sequence_id", "length").collect()
+    least = -(-sum(r.length for r in one) // 1024)
+    sizes = [len({r.sequence_id for r in rows}) for rows in (one, many)]
+    assert sizes[0] <= 1.002 * least + 1 and sizes[1] <= sizes[0] + 8
+    assert all(r.sequence_id < 0 for r in many if r.length == 1024) and sum(r.length for r in many) == sum(r.length for r in one)
+
+
+def test_forgetting_pieces_changes_nothing():
+    lib, enc = plain("byte"), PieceEncoder(FILES["byte"], "byte", remembered=40)
+    texts = [f"some words {i} and {i * 7} more, of {i % 5} kinds" for i in range(300)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+    assert got == [list(lib(t)) for t in texts]
+    enc.trim(3)
+    assert len(enc.memory) == 3 and [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts[:3])] == got[:3]
+
+
 def slow_best_fit(size, capacity, weights, rule):
     bins, out = [], []
     for item in size:
