@@ -227,3 +227,38 @@ def done_count(segments: DataFrame, targets: DataFrame, kept: DataFrame, *by: st
     """Segments with a target or kept as they are, by the given columns."""
     both = segments.join(targets.select("id", "target"), "id", "left").join(kept.select("id", F.lit(True).alias("_k")).distinct(), "id", "left")
     return both.groupBy(*by).agg(F.count_if(F.coalesce("_k", F.lit(False)) | (F.coalesce(F.trim("target"), F.lit("")) != "")).alias("done"))
+
+
+#: Levels of an outline, the first being 0, and entries of a history that are kept (fixed values).
+DEPTH, HISTORY = 32, 300
+
+
+def outline(items: DataFrame) -> DataFrame:
+    """(doc_id, id, i, depth) of an outline's items in reading order: a parent before its children, these by ``ord``.
+
+    ``items(doc_id, id, parent, ord)``; a null parent is the top. Paths are doubled in each round, so that the levels of
+    an outline take few joins; items below level ``DEPTH`` or above no top are left out.
+    """
+    step = F.struct("ord", "id")
+    paths = items.select("doc_id", "id", F.col("parent").alias("up"), F.array(step).alias("path"))
+    for _ in range(DEPTH.bit_length()):
+        above = paths.select("doc_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        both = paths.join(above, ["doc_id", "up"], "left")
+        paths = both.select("doc_id", "id", F.when(F.col("_path").isNull(), F.col("up")).otherwise(F.col("_up")).alias("up"), F.concat(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)), "path").alias("path"))
+    whole = paths.where(F.col("up").isNull() & (F.size("path") <= DEPTH + 1))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1
+    return whole.select("doc_id", "id", place.alias("i"), (F.size("path") - 1).alias("depth"))
+
+
+def undone(targets: DataFrame, log: DataFrame, steps: Column, *by: str) -> DataFrame:
+    """(by..., id, target) once the last ``steps`` entries of each history are undone; blank targets are left out.
+
+    ``log`` has by..., ord (the entry), id and before; of a history the last ``HISTORY`` entries are kept. What an id was before the first
+    undone entry that changed it is what it is again.
+    """
+    entries = log.select(*by, "ord").distinct().withColumn("back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ord"))))
+    gone = entries.where((F.col("back") <= F.least(steps, F.lit(HISTORY)))).drop("back")
+    was = log.join(gone, [*by, "ord"]).groupBy(*by, "id").agg(F.min_by(F.struct("before"), "ord").alias("was"))
+    both = targets.join(was, [*by, "id"], "full_outer")
+    now = F.when(F.col("was").isNotNull(), F.col("was.before")).otherwise(F.col("target"))
+    return both.select(*by, "id", now.alias("target")).where(F.coalesce(F.trim("target"), F.lit("")) != "")

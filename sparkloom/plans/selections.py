@@ -315,3 +315,31 @@ def study_rounds(spark, sf_dir):
     c = e.groupBy("user_id", (F.col("event_id") % 20).alias("id")).agg(F.max("ts").alias("last"), (F.count("*") % 4).cast("int").alias("known"), (F.max("event_id") % 3 == 0).alias("seen"))
     got = study.round_rows(c, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 1, 0, "user_id")
     return got.select("user_id", "id", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT conv_id AS doc_id, turn AS id, CASE WHEN turn > 1 THEN turn // 2 END AS parent, -turn AS ord FROM conversations),
+t AS (SELECT doc_id, id, [ord] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.id, list_append(t.path, n.ord) FROM n JOIN t ON n.doc_id = t.doc_id AND n.parent = t.id)
+SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INTEGER) AS i, CAST(len(path) - 1 AS INTEGER) AS depth FROM t"""
+)
+def outline_order(spark, sf_dir):
+    """Turns as an outline: turn n hangs on turn n / 2, later ones first."""
+    n = F.col("turn")
+    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), n.alias("id"), F.when(n > 1, F.floor(n / 2)).alias("parent"), (-n).alias("ord"))
+    return reconcile.outline(items)
+
+
+@query(
+    """WITH l AS (SELECT user_id, event_id AS ord, event_id % 7 AS id, lag('v' || event_id) OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+s AS (SELECT user_id, id, 'v' || max(ord) AS target FROM l GROUP BY user_id, id), w AS (SELECT user_id, id, min(ord) AS first FROM l WHERE back <= 5 GROUP BY user_id, id)
+SELECT s.user_id, s.id, CASE WHEN w.first IS NULL THEN s.target ELSE l.before END AS target FROM s LEFT JOIN w USING (user_id, id) LEFT JOIN l ON l.user_id = s.user_id AND l.ord = w.first WHERE w.first IS NULL OR l.before IS NOT NULL"""
+)
+def undone_edits(spark, sf_dir):
+    """Each event sets one of a user's seven targets; the last five are undone."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"), (F.col("event_id") % 7).alias("id"))
+    value = F.concat(F.lit("v"), F.col("ord").cast("string"))
+    log = e.withColumn("before", F.lag(value).over(Window.partitionBy("user_id", "id").orderBy("ord")))
+    now = e.groupBy("user_id", "id").agg(F.concat(F.lit("v"), F.max("ord").cast("string")).alias("target"))
+    return reconcile.undone(now, log, F.lit(5), "user_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import boxes, stopwords
+from ..functions import boxes, formulas, stopwords
 from ..functions import text as fn
 from ..operators import reconcile, selection
 from ..operators import geometry
@@ -271,3 +271,50 @@ SELECT lang, doc_id, place, dealt, greatest(0, n - 400) AS more FROM r WHERE pla
 def shown_rows(spark, sf_dir):
     """The first 400 rows of a list with the number left out, and each row's place once the list is shuffled by a seed."""
     return selection.shown(selection.dealt(documents(spark, sf_dir).select("lang", "doc_id"), "doc_id", 7, "lang"), "doc_id", 400, "lang").select("lang", "doc_id", "place", "dealt", "more")
+
+
+FORMULAS = (
+    ("E = m·v²", True), ("dt", True), ("in", False), ("t1 − t0", True), ("ln r a", True), ("Φ", True), ("4.2 M", False), ("a−b/c", True), ("The result is x = 4 in this case", False),
+    ("Total revenue", False), ("λόγος", False), ("12 345", False), ("if x ≥ y² + z", True), ("k = 1", True),
+)
+
+
+@query(f"SELECT doc_id, {chosen_sql('doc_id', *(str(v) for _, v in FORMULAS))} AS formula FROM documents")
+def formula_segments(spark, sf_dir):
+    """Short segments of a document, some of them formulas."""
+    span = F.struct(F.col("t").alias("text"), F.lit("Times").alias("font"), F.lit(10.0).alias("size"), F.lit(False).alias("italic"))
+    d = documents(spark, sf_dir).select("doc_id", chosen(F.col("doc_id"), *(t for t, _ in FORMULAS)).alias("t"))
+    return d.select("doc_id", F.initcap(formulas.is_formula(F.col("t"), F.array(span)).cast("string")).alias("formula"))
+
+
+@query(
+    f"""SELECT doc_id, {chosen_sql('doc_id', '<b>x</b> y', '<br/>x</i> y', '<br/><b><i>x</i></b>', '<br/>x <9>', 'x<br/>y')} || lang AS text FROM documents"""
+)
+def restored_tags(spark, sf_dir):
+    """Translations with tags that are whole, crossed, missing or unknown."""
+    tag = lambda *v: F.struct(*(F.lit(x).cast("string").alias(k) for k, x in zip(("open", "close", "empty"), v)))
+    pair = F.create_map(F.lit(1), tag("<b>", "</b>", None), F.lit(2), tag("<i>", "</i>", None))
+    more = F.map_concat(pair, F.create_map(F.lit(3), tag(None, None, "<br/>")))
+    odd = F.map_concat(F.create_map(F.lit(2), tag("<i>", "</i>", None)), F.create_map(F.lit(3), tag(None, None, "<br/>")))
+    n = F.col("doc_id")
+    text = F.concat(chosen(n, "<1>x</1> y", "x‹/i› y", "<1><2>x</2></1>", "<1>x <9>", "x<3/>y"), "lang")
+    text = F.when(n % 5 == 1, F.concat(F.lit("x</i> y"), "lang")).otherwise(text)
+    return documents(spark, sf_dir).select("doc_id", formulas.tags_restored(text, F.when(n % 5 == 0, pair).when(n % 5 == 1, odd).otherwise(more)).alias("text"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE l_linenumber % 4 WHEN 0 THEN l_partkey WHEN 1 THEN -l_partkey / 100.0 WHEN 2 THEN (1 + (l_partkey % 16) / 16.0) * pow(2, l_linenumber) ELSE -(1 + (l_partkey % 16) / 16.0) / 8 / 100 END AS DOUBLE) AS value FROM lineitem"""
+)
+def packed_numbers(spark, sf_dir):
+    """Integers and doubles, whole and hundredths, packed into 32 bits."""
+    p, n = F.col("l_partkey").cast("long"), F.col("l_linenumber")
+    real = lambda exponent, sign: F.shiftleft(F.lit(sign).cast("long"), 31) + F.shiftleft((exponent + 1023).cast("long"), 20) + F.shiftleft(p % 16, 16)
+    rk = F.when(n % 4 == 0, p * 4 + 2).when(n % 4 == 1, -p * 4 + 3).when(n % 4 == 2, real(n, 0)).otherwise(real(F.lit(-3), 1) + 1)
+    signed = F.when(rk >= 1 << 31, rk - (1 << 32)).otherwise(rk).cast("int")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", formulas.packed_number(signed).alias("value"))
+
+
+@query()
+def content_checksums(spark, sf_dir):
+    """CRC-32 of whole texts; DuckDB has no such function, so a test holds it against Python's."""
+    return documents(spark, sf_dir).select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc32"))

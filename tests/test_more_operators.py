@@ -129,8 +129,8 @@ def test_files_of_ids_across_slots(spark):
 
 
 def test_tags_that_close_before_they_open(spark):
-    for target, want in (("<1>a</1>", (0, 0)), ("</1>a<1>", (0, 1)), ("<1>a", (0, 1)), ("a</1>", (1, 2)), ("<1><1>a</1>", (0, 0)), ("<2/>", (1, 1))):
-        assert tuple(one(spark, reconcile.marker_issues(F.lit("<1>"), F.col("x")), x=target)) == want
+    for target, want in (("<1>a</1>", (0, 0)), ("</1>a<1>", (0, 1)), ("<1>a", (1, 1)), ("a</1>", (1, 1)), ("<1><1>a</1>", (0, 0)), ("<2/>", (2, 1))):
+        assert tuple(one(spark, reconcile.marker_issues(F.lit("<1></1>"), F.col("x")), x=target)) == want
 
 
 def test_cut_of_long_texts(spark):
