@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bound, with_starts
+from ..functions.arrays import bound, cut, pieces, running, with_starts
 from .storage import staged
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -33,8 +33,10 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 # \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# a run of other characters than white space with a digit
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: What stands for a base span's characters, the first and the others, and for these two signs in a text.
+FIRST, MORE, OTHER = "\ue001", "\ue000", "\ue002"
+# a run of other characters than white space with a digit or a base span
+TOKEN = rf"(?<!\S)[^\s0-9{FIRST}]*+[0-9{FIRST}]\S*+"
 
 #: Rounds over the graph; believed instances that a pattern needs; least confidence of a pattern and belief in an instance.
 ROUNDS, SUPPORT, CONFIDENCE, BELIEF = 3, 3, 0.8, 0.9
@@ -86,11 +88,11 @@ def _ok(kind: str):
 
 
 def _span(no: int):
-    return lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("kind"), x["end"].alias("end"))
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("kind"), x["end"].alias("end"), x["hit"].alias("hit"))
 
 
 def base_spans(text: Column) -> Column:
-    """The base kinds' spans as array of (start, kind number, end), in that order."""
+    """The base kinds' spans as array of (start, kind number, end, hit), in that order."""
     found = []
     for no, (kind, pattern, possible) in enumerate(
         (("email", EMAIL, text.contains("@")), ("ip", IP, text.contains(".")), ("card", CARD, F.lit(True)), ("phone", PHONE, text.contains("+")))
@@ -100,36 +102,64 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+_BESIDE = "struct<at:int,start:int,kind:int,end:int,hit:string>"
+
+
+def _beside(spans: Column) -> Column:
+    """Spans in order, each with the greatest end of those before as ``at``: it is a span's own if it starts there or later."""
+    make = lambda at, x: F.struct(at.alias("at"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["hit"].alias("hit"))
+    return running(spans, lambda x: x["end"], F.greatest, make, _BESIDE)
+
+
+def _replaced(text: Column, spans: Column, put, plain=lambda gap: gap) -> Column:
+    """The text with ``put(span)`` in place of each span of ``_beside`` and ``plain(gap)`` between them, in time proportional to the text."""
+
+    def made(x: Column) -> Column:
+        gap = lambda s: plain(cut(x["parts"], s["at"], s["start"] - s["at"]))
+        pieces_ = F.transform(x["spans"], lambda s: F.concat(F.when(s["start"] > s["at"], gap(s)).otherwise(""), put(s)))
+        return bound(F.array_max(F.transform(x["spans"], lambda s: s["end"])), lambda end: F.concat(F.array_join(pieces_, ""), plain(cut(x["parts"], end, x["n"] - end))))
+
+    return bound(F.struct(pieces(text).alias("parts"), F.length(text).alias("n"), spans.alias("spans")), made)
+
+
+def _marked(text: Column, spans: Column) -> Column:
+    """The text with FIRST and MORE in place of the characters of base spans."""
+    plain = lambda t: F.when(t.rlike(f"[{FIRST}{MORE}]"), F.translate(t, FIRST + MORE, OTHER * 2)).otherwise(t)
+    more = lambda n: F.repeat(F.lit(MORE), F.greatest(n, F.lit(0)))
+    put = lambda s: F.when(s["start"] >= s["at"], F.concat(F.lit(FIRST), more(s["end"] - s["start"] - 1))).otherwise(more(s["end"] - s["at"]))
+    return F.when(F.size(spans) == 0, plain(text)).otherwise(_replaced(text, spans, put, plain))
+
+
 def _candidates(text: Column, base: Column) -> Column:
-    """Tokens that look like identifiers or begin a base span: (start, end, instance, left, right, seed); the instance of a seed is its span."""
+    """Tokens that look like identifiers or have a base span: (start, end, instance, left, right, seed); the instance of a seed is its first span."""
     word = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}=:#]", ""))
+    spans_in = lambda hit: F.regexp_count(hit, F.lit(FIRST))
 
-    def shape(x: Column) -> Column:
+    def shape(before: Column, x: Column) -> Column:
         skip = F.length(F.regexp_extract(x["hit"], r"^([^\p{L}\p{N}+]*+)", 1))
         core = F.regexp_replace(F.substring(x["hit"], skip + 1, F.length(x["hit"])), r"[^\p{L}\p{N}]++$", "")
         start = x["start"] + skip
         return F.struct(
             start.alias("start"),
             (start + F.length(core)).alias("end"),
-            core.alias("instance"),
+            core.alias("core"),
             word(F.reverse(F.regexp_extract(F.reverse(x["before"]), r"^\s*(\S++)", 1))).alias("left"),
             word(F.regexp_extract(x["after"], r"^\s*(\S++)", 1)).alias("right"),
+            x["hit"].contains(FIRST).alias("seed"),
+            before.alias("no"),
         )
 
-    def judged(x: Column) -> Column:
-        over = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        first = F.get(over, F.lit(0))
-        seed = F.substring(text, first["start"] + 1, first["end"] - first["start"])
-        return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), F.coalesce(seed, x["instance"]).alias("instance"), x["left"].alias("left"), x["right"].alias("right"),
-            seed.isNotNull().alias("seed"), F.exists(over, lambda b: b["start"] < x["start"]).alias("inside"),
-        )
+    def found(x: Column) -> Column:
+        row = "struct<start:int,end:int,core:string,left:string,right:string,seed:boolean,no:int>"
+        tokens = running(_located(_marked(text, x["spans"]), TOKEN, F.lit(True)), lambda t: spans_in(t["hit"]), lambda a, n: a + n, shape, row)
+        good = F.filter(tokens, lambda t: t["seed"] | ((F.length(t["core"]) >= 6) & (F.length(_digits(t["core"])) >= 4)))
+        seeds = F.transform(F.filter(x["spans"], lambda s: s["start"] >= s["at"]), lambda s: s["hit"])
+        return bound(seeds, lambda own: F.transform(good, lambda t: F.struct(
+            t["start"].alias("start"), t["end"].alias("end"), F.when(t["seed"], F.get(own, t["no"])).otherwise(t["core"]).alias("instance"),
+            t["left"].alias("left"), t["right"].alias("right"), t["seed"].alias("seed"),
+        )))
 
-    plain = F.filter(
-        F.transform(_located(text, TOKEN, F.lit(True)), shape),
-        lambda x: ((F.length(x["instance"]) >= 6) & (F.length(_digits(x["instance"])) >= 4)) | F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    return F.filter(F.transform(plain, judged), lambda x: ~x["inside"])
+    return bound(F.struct(_beside(base).alias("spans")), found)
 
 
 def _scored(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +194,9 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
-    src = src.withColumn("base", base_spans(F.col("text"))).select("doc_id", "key", "base", _candidates(F.col("text"), F.col("base")).alias("tokens"))
+    src = src.withColumn("base", base_spans(F.col("text")))
+    bare = F.transform("base", lambda s: s.dropFields("hit"))
+    src = src.select("doc_id", "key", bare.alias("base"), _candidates(F.col("text"), F.col("base")).alias("tokens"))
     rows = staged(src, "spans")
     seen = rows.where(F.size("tokens") > 0).select("doc_id", "key", F.inline("tokens"))
     beside = F.filter(
@@ -221,14 +253,9 @@ def masked(docs: DataFrame) -> DataFrame:
     )
     names = F.array(*map(F.lit, KINDS))
     text = F.col("text").cast("string")
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        put = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(F.get(names, x["kind"])), F.lit("]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, put).otherwise(s["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    put = lambda s: F.when(s["start"] >= s["at"], F.concat(F.lit("["), F.upper(F.get(names, s["kind"])), F.lit("]"))).otherwise("")
+    hits = F.transform("_spans", lambda s: s.withField("hit", F.lit(None).cast("string")))
+    new = _replaced(text, _beside(hits), put)
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit(""))))
     both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     out = both.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(new))
