@@ -7,11 +7,11 @@ occur in several payloads; each of those is stored once, in its own row. A paylo
 (the ordered list of chunk digests and lengths) with its other chunks as one compressed body. Reading joins the
 shared chunks to the recipes, puts the chunks in order and verifies every digest and the payload's.
 
-The stored form that media_bytes and media_sha256 describe is the recipe followed by its chunks as
-read back, which by itself holds the payload without loss.
+The stored form that media_bytes and media_sha256 describe is all that a payload takes in the store, as read back: its
+recipe, its own body and the bodies of the shared chunks in the recipe's order, compressed as they are stored.
 
 Copies and shared chunks are marked by a table of exceptions, (doc_id, text hash) -> role. Up to
-``BROADCAST_ROWS`` rows of it are broadcast, so that texts are not shuffled; beyond it the join shuffles.
+``BROADCAST_ENTRIES`` rows and chunk numbers of it are broadcast, so that texts are not shuffled; beyond it the join shuffles.
 
 Defined results: a null or empty text is a payload of 576 fill bytes; every input row is returned, repeated
 rows and null doc_ids too.
@@ -37,8 +37,9 @@ UNIT, FILL = 576, b"\xff"
 #: Least and greatest chunk length; zero bits that make a cut, for 2 KiB between cuts on average.
 LEAST, MOST, BITS = 512, 16384, 11
 WINDOW = 32
-BROADCAST_ROWS = 1_000_000
-MAGIC = b"CDR1"
+#: Rows and chunk numbers, of 40 bytes at most, in a broadcast.
+BROADCAST_ENTRIES = 1_000_000
+MAGIC = b"CDR2"
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -81,9 +82,20 @@ def chunks(payload: bytes, ends: list[int]) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def recipe(digests: list[bytes], lengths: list[int]) -> bytes:
-    head = struct.pack("<4sIQ", MAGIC, len(digests), sum(lengths))
-    return head + b"".join(struct.pack("<I", n) + d for d, n in zip(digests, lengths))
+_HEAD, _ENTRY = struct.Struct("<4sIQ"), struct.Struct("<I?32s")
+
+
+def recipe(lengths: list[int], elsewhere: list[bool], digests: list[bytes]) -> bytes:
+    """The chunks of a payload in order: length, whether it is stored in a row of its own, digest."""
+    return _HEAD.pack(MAGIC, len(digests), sum(lengths)) + b"".join(map(_ENTRY.pack, lengths, elsewhere, digests))
+
+
+def read_recipe(raw: bytes) -> list[tuple[int, bool, bytes]]:
+    magic, n, size = _HEAD.unpack_from(raw)
+    entries = list(_ENTRY.iter_unpack(raw[_HEAD.size :]))
+    if magic != MAGIC or len(entries) != n or sum(e[0] for e in entries) != size:
+        raise ValueError("not a recipe")
+    return entries
 
 
 def feature(samples: bytes) -> str:
@@ -102,12 +114,13 @@ _KEY = ["k", "h"]
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    least = F.lit(-(1 << 63)).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    doc = F.col("doc_id").cast("long")
+    # Rows with the same k and h have the same text, and so the same role, whichever of them have no doc_id.
+    return docs.select(F.coalesce(doc, F.lit(-(1 << 63)).cast("long")).alias("k"), F.xxhash64(text).alias("h"), doc.isNull().alias("no_id"), text.alias("text"))
 
 
 def _index(keyed: DataFrame) -> DataFrame:
-    """(k, h, sha, n_bytes, digests) of every row."""
+    """(k, h, no_id, sha, n_bytes, digests) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,12 +130,12 @@ def _index(keyed: DataFrame) -> DataFrame:
                 raw = [p for _, p in both]
                 digests = [[hashlib.sha256(c).digest() for c in chunks(p, e)] for p, e in zip(raw, cut_points(raw))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array([hashlib.sha256(p).digest() for p in raw], pa.binary()),
+                    [*(batch.column(c).slice(a, b - a) for c in ("k", "h", "no_id")), pa.array([hashlib.sha256(p).digest() for p in raw], pa.binary()),
                      pa.array([n for n, _ in both], pa.int64()), pa.array(digests, pa.list_(pa.binary()))],
-                    names=["k", "h", "sha", "n_bytes", "digests"],
+                    names=["k", "h", "no_id", "sha", "n_bytes", "digests"],
                 )
 
-    return keyed.mapInArrow(run, "k long, h long, sha binary, n_bytes long, digests array<binary>")
+    return keyed.mapInArrow(run, "k long, h long, no_id boolean, sha binary, n_bytes long, digests array<binary>")
 
 
 def _exceptions(index: DataFrame) -> DataFrame:
@@ -152,18 +165,19 @@ def _exceptions(index: DataFrame) -> DataFrame:
 
 
 def _stored(keyed: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Rows of the store: kind 'payload' (name: its digest, digests, lengths, body, refs: numbers of the chunks stored
-    elsewhere) and kind 'chunk' (name: its digest, body)."""
-    if exceptions.count() <= BROADCAST_ROWS:
+    """Rows of the store: kind 'payload' (name: its digest, recipe, elsewhere: digests of the chunks stored in rows of their own,
+    body: the other chunks) and kind 'chunk' (name: its digest, body)."""
+    entries = exceptions.agg(F.sum(1 + F.size("shared"))).first()[0] or 0
+    if entries <= BROADCAST_ENTRIES:
         exceptions = F.broadcast(exceptions)
     rows = keyed.join(exceptions, _KEY, "left").where(F.coalesce("owner", F.lit(True)))
-    schema = "kind string, name binary, digests array<binary>, lengths array<int>, refs array<int>, body binary"
+    schema = "kind string, name binary, recipe binary, elsewhere array<binary>, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=6)
-        types = [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+        types = [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
         for batch in batches:
             texts, marks = batch.column("text").to_pylist(), batch.column("shared").to_pylist()
             for a, b in slices(texts):
@@ -177,9 +191,10 @@ def _stored(keyed: DataFrame, exceptions: DataFrame) -> DataFrame:
                     for no, mine in away.items():
                         if mine and digests[no] not in done:
                             done.add(digests[no])
-                            out.append(("chunk", digests[no], None, None, None, z.compress(parts[no])))
+                            out.append(("chunk", digests[no], None, None, z.compress(parts[no])))
                     body = b"".join(c for no, c in enumerate(parts) if no not in away)
-                    out.append(("payload", hashlib.sha256(p).digest(), digests, list(map(len, parts)), sorted(away), z.compress(body)))
+                    made = recipe(list(map(len, parts)), [no in away for no in range(len(parts))], digests)
+                    out.append(("payload", hashlib.sha256(p).digest(), made, sorted({digests[no] for no in away}), z.compress(body)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in schema.split(", ")])
 
     return rows.select("text", "shared").mapInArrow(run, schema)
@@ -189,7 +204,7 @@ _MEDIA = "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long
 
 
 def _read(rows: DataFrame) -> DataFrame:
-    """Payloads rebuilt from rows (name, digests, lengths, refs, body, parts), verified and described."""
+    """Payloads rebuilt from rows (name, recipe, body, parts), verified and described."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -200,11 +215,14 @@ def _read(rows: DataFrame) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                elsewhere = {x["name"]: z.decompress(x["body"]) for x in row["parts"] or ()}
-                away, body, at, parts = set(row["refs"]), z.decompress(row["body"]), 0, []
-                for no, (digest, n) in enumerate(zip(row["digests"], row["lengths"])):
-                    if no in away:
-                        parts.append(elsewhere[digest])
+                stored = {x["name"]: x["body"] for x in row["parts"] or ()}
+                media, size = hashlib.sha256(row["recipe"] + row["body"]), len(row["recipe"]) + len(row["body"])
+                body, at, parts = z.decompress(row["body"]), 0, []
+                for n, elsewhere, digest in read_recipe(row["recipe"]):
+                    if elsewhere:
+                        media.update(stored[digest])
+                        size += len(stored[digest])
+                        parts.append(z.decompress(stored[digest]))
                     else:
                         parts.append(body[at : at + n])
                         at += n
@@ -213,10 +231,7 @@ def _read(rows: DataFrame) -> DataFrame:
                 whole = b"".join(parts)
                 if hashlib.sha256(whole).digest() != row["name"]:
                     raise ValueError("a payload is not what its digest says")
-                head = recipe(row["digests"], row["lengths"])
-                media = hashlib.sha256(head)
-                media.update(whole)
-                out.append((row["name"], len(whole), row["name"].hex(), zlib.crc32(whole[-32:]), len(head) + len(whole), media.hexdigest(), feature(whole), len(parts)))
+                out.append((row["name"], len(whole), row["name"].hex(), zlib.crc32(whole[-32:]), size, media.hexdigest(), feature(whole), len(parts)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in _MEDIA.split(", ")])
 
@@ -232,11 +247,11 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def load(chunk_store: DataFrame) -> DataFrame:
     """Every payload of a store, read back: a row for each."""
-    whole = chunk_store.where("kind = 'payload'").select("name", "digests", "lengths", "refs", "body")
-    alone = whole.where(F.size("refs") == 0).withColumn("parts", F.lit(None).cast("array<struct<name:binary,body:binary>>"))
-    linked = whole.where(F.size("refs") > 0)
+    whole = chunk_store.where("kind = 'payload'").select("name", "recipe", "elsewhere", "body")
+    alone = whole.where(F.size("elsewhere") == 0).withColumn("parts", F.lit(None).cast("array<struct<name:binary,body:binary>>"))
+    linked = whole.where(F.size("elsewhere") > 0)
     single = chunk_store.where("kind = 'chunk'").select(F.col("name").alias("chunk"), F.col("body").alias("chunk_body"))
-    wanted = linked.select("name", F.explode(F.array_distinct(F.transform("refs", lambda i: F.get("digests", i)))).alias("chunk")).distinct()
+    wanted = linked.select("name", F.explode("elsewhere").alias("chunk")).distinct()
     parts = wanted.join(single, "chunk").groupBy("name").agg(F.collect_list(F.struct(F.col("chunk").alias("name"), F.col("chunk_body").alias("body"))).alias("parts"))
     return _read(alone.unionByName(linked.join(parts, "name")))
 
@@ -245,6 +260,5 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """One row per document, described from the bytes read back."""
     index, chunk_store = store(docs)
     media = staged(load(chunk_store).dropDuplicates(["sha"]), "media")
-    rows = index.select("k", "sha", "n_bytes").join(media, "sha")
-    least = -(1 << 63)
-    return rows.select(F.when(F.col("k") != least, F.col("k")).alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
+    rows = index.select("k", "no_id", "sha", "n_bytes").join(media, "sha")
+    return rows.select(F.when(~F.col("no_id"), F.col("k")).alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")

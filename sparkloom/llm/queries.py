@@ -52,6 +52,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given model merges (BPE): at each position the one last piece that stands beside the piece before it is kept.
+
+    Best sums of scores, which unigram models need, are not what such a model's ids are; tests run that way against a slow Viterbi.
+    """
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 

@@ -12,7 +12,8 @@ Texts are cut where no piece can cross, between another character and the space
 seen before come from a bounded memory. Characters outside the vocabulary become their UTF-8 bytes' pieces.
 
 Defined results: a null or empty text has no ids; every row is returned. The sign U+2581 in a text is
-decoded as a space, as the library does.
+decoded as a space, as the library does. A model whose normalisation or pieces would need more than
+this raises an error: character maps, squeezed or suffixed spaces, user-defined pieces, pieces that cross a cut.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from struct import pack
 
 import numpy as np
@@ -59,17 +61,34 @@ class PieceAutomaton:
         self.pairs: dict[tuple, bool] = {}
 
     def _merged(self, text: str) -> list[str]:
-        """Merging of one short text, best score first, leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                i_d = self.ids.get(parts[i] + parts[i + 1])
-                if i_d is not None and (best is None or self.scores[i_d] > best):
-                    best, at = self.scores[i_d], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Merging of a text, best score first, leftmost of equals."""
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        waiting: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if i >= 0 and j < len(parts):
+                both = parts[i] + parts[j]
+                no = self.ids.get(both)
+                if no is not None:
+                    heappush(waiting, (-self.scores[no], i, both))
+
+        for i in range(len(parts)):
+            offer(i)
+        while waiting:
+            _, i, both = heappop(waiting)
+            j = after[i]
+            # One side may have been merged with another in the meantime.
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j], after[i] = both, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p is not None]
 
     def _stands(self, a: int, b: int) -> bool:
         """Whether pieces a and b beside each other stay as they are."""
@@ -180,40 +199,50 @@ class PieceAutomaton:
         return raw[1:] if self.prefix and raw.startswith(" ") else raw
 
 
-def _model_type(path: str) -> int:
-    """trainer_spec.model_type of a model file (1 unigram, 2 BPE): field 3 of field 2 of the message."""
-
-    def fields(raw: bytes):
-        at = 0
-
-        def number() -> int:
-            nonlocal at
-            value = shift = 0
-            while True:
-                value |= (raw[at] & 127) << shift
-                at, shift = at + 1, shift + 7
-                if raw[at - 1] < 128:
-                    return value
-
-        while at < len(raw):
-            key = number()
-            if key & 7 == 2:
-                n = number()
-                yield key >> 3, raw[at : at + n]
-                at += n
-            elif key & 7 == 0:
-                yield key >> 3, number()
-            else:
-                n = 4 if key & 7 == 5 else 8
-                yield key >> 3, raw[at : at + n]
-                at += n
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message."""
+    at = 0
 
-    with open(path, "rb") as f:
-        model = f.read()
-    for no, value in fields(model):
-        if no == 2:
-            return dict((k, v) for k, v in fields(value) if k == 3).get(3, 1)
-    return 1
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            n = number() if key & 7 == 2 else 4 if key & 7 == 5 else 8
+            yield key >> 3, raw[at : at + n]
+            at += n
+
+
+# Numbers of the fields of a model file, of its trainer and normaliser settings, and of a piece's type.
+_PIECES_FIELD, _TRAINER, _NORMALIZER = 1, 2, 3
+_MODEL_TYPE, _SPACE_AS_SUFFIX = 3, 24
+_CHARACTER_MAP, _DUMMY_PREFIX, _SQUEEZE, _ESCAPE = 2, 3, 4, 5
+_PIECE_TYPE, _USER_DEFINED = 3, 4
+
+
+def settings(model: bytes) -> tuple[bool, bool]:
+    """(merges, prefix): whether a model merges (BPE) or is unigram, and whether a text begins with a space."""
+    found = list(_fields(model))
+    part = lambda no: dict(_fields(next((v for k, v in found if k == no), b"")))
+    trainer, normalizer = part(_TRAINER), part(_NORMALIZER)
+    kind = trainer.get(_MODEL_TYPE, 1)
+    user_defined = any(k == _PIECES_FIELD and dict(_fields(v)).get(_PIECE_TYPE, 1) == _USER_DEFINED for k, v in found)
+    for wrong, what in (
+        (kind not in (1, 2), "neither unigram nor BPE"), (normalizer.get(_CHARACTER_MAP), "a character map"), (normalizer.get(_SQUEEZE, 1), "squeezed spaces"),
+        (not normalizer.get(_ESCAPE, 1), "unescaped spaces"), (trainer.get(_SPACE_AS_SUFFIX, 0), "spaces as suffixes"), (user_defined, "user-defined pieces"),
+    ):
+        if wrong:
+            raise ValueError(f"a model with {what} would get other ids than the library's")
+    return kind == 2, bool(normalizer.get(_DUMMY_PREFIX, 1))
 
 
 @lru_cache(maxsize=2)
@@ -221,12 +250,15 @@ def automaton(path: str) -> PieceAutomaton:
     """The automaton of a model file; one for each Python worker."""
     import sentencepiece
 
+    with open(path, "rb") as f:
+        merges, prefix = settings(f.read())
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     plain = [not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
-    return PieceAutomaton(
-        [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) if p else None for i, p in enumerate(plain)], sp.unk_id(), _model_type(path) == 2
-    )
+    pieces = [sp.id_to_piece(i) for i in range(n)]
+    if any(p and re.search(f"[^{SPACE}]{SPACE}", x) for x, p in zip(pieces, plain)):
+        raise ValueError("a model with pieces that go on after a space sign would get other ids than the library's")
+    return PieceAutomaton(pieces, [sp.get_score(i) if p else None for i, p in enumerate(plain)], sp.unk_id(), merges, prefix)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -1,12 +1,15 @@
 import base64
 import hashlib
+import math
 import random
+import re
 import textwrap
 import zlib
 
 import numpy as np
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from sparkloom.llm import licenses, media, secrets, sentencepieces
@@ -55,15 +58,32 @@ def check_media(rows, texts):
         whole = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
         assert r.feature == media.feature(whole)
-        parts = media.chunks(whole, media.cut_points([whole])[0])
-        stored = media.recipe([hashlib.sha256(p).digest() for p in parts], list(map(len, parts))) + whole
-        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-        assert seen.setdefault(texts[r.doc_id] or "", r.media_sha256) == r.media_sha256
+        assert seen.setdefault(texts[r.doc_id] or "", (r.media_bytes, r.media_sha256)) == (r.media_bytes, r.media_sha256)
+
+
+def check_stored_forms(store, media_rows):
+    """Digests of the stored forms against the rows of the store, and payloads rebuilt from these by the recipe's layout alone."""
+    shared = {r.name: r.body for r in store if r.kind == "chunk"}
+    got = {bytes(r.sha): r for r in media_rows}
+    for r in store:
+        if r.kind == "payload":
+            assert r.recipe[:4] == media.MAGIC
+            form, whole, own = r.recipe + r.body, b"", zstandard.decompress(r.body)
+            for at in range(16, len(r.recipe), 37):
+                n, away, digest = int.from_bytes(r.recipe[at : at + 4], "little"), r.recipe[at + 4], r.recipe[at + 5 : at + 37]
+                form += shared[digest] if away else b""
+                part, own = (zstandard.decompress(shared[digest]), own) if away else (own[:n], own[n:])
+                assert len(part) == n and hashlib.sha256(part).digest() == digest
+                whole += part
+            assert own == b"" and hashlib.sha256(whole).digest() == r.name
+            m = got.pop(bytes(r.name))
+            assert (m.media_bytes, m.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+    assert not got
 
 
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_media_round_trip(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(media, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(media, "BROADCAST_ENTRIES", broadcast)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op1_media_columns(spark, SF).collect()
     assert len(rows) == len(texts)
@@ -81,13 +101,18 @@ def test_chunks_are_stored_once(spark):
     assert sum(r.kind == "payload" for r in rows) == 8
     names = [r.name for r in rows if r.kind == "chunk"]
     assert len(names) == len(set(names)) > 5
-    import zstandard
-
+    check_stored_forms(rows, media.load(store).collect())
     kept = sum(len(zstandard.decompress(r.body)) for r in rows)
     assert kept < 0.6 * 6 * 36_000
     check_media(media.round_trip(df).collect(), texts)
 
 
+def test_smallest_doc_id(spark):
+    """The least number is an id like any other, also beside a null one with the same text."""
+    df = spark.createDataFrame([(-(1 << 63), "x", "", "", 0), (None, "x", "", "", 0), (None, "y", "", "", 0)], DOCS)
+    assert sorted((str(r.doc_id), r.n_bytes) for r in media.round_trip(df).collect()) == [("-9223372036854775808", 1), ("None", 1), ("None", 1)]
+
+
 def test_media_awkward_rows(docs, awkward, none):
     rows = media.round_trip(docs).collect()
     assert len(rows) == len(awkward)
@@ -184,8 +209,6 @@ def forest(spark):
 
 def test_secrets_of_the_sample(spark):
     sf = "/root/testdata/sf0.01"
-    import re
-
     want = {(r.doc_id, m.start(1), m.end(1)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
     assert {(r.doc_id, r.start, r.end) for r in op4_secret_scans(spark, sf).collect()} == want
 
@@ -210,6 +233,42 @@ def test_false_positives_go(spark, forest):
     assert {r.doc_id: r.probability for r in secrets.scan(df, None).collect()} == {k: 0.5 for k in (1, 2, 3, 4, 7)}
 
 
+def slow_features(hit, before, after, path):
+    """Features of a finding, character by character where a loop can say it."""
+    n, low, near = len(hit), hit.lower(), before.lower()
+    kind = ["a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "_" for c in hit]
+    known = sorted({w for w in (*secrets.DICTIONARY.split(), *secrets.stopwords.ALL) if len(w) > 2 and w.isalpha()}, key=len)
+    covered = at = 0
+    while at < n:
+        most = max((len(w) for w in known if low.startswith(w, at)), default=0)
+        covered, at = covered + most, at + max(most, 1)
+    repeats = at = 0
+    while at < n - 1:
+        same = hit[at] == hit[at + 1]
+        repeats, at = repeats + same, at + 1 + same
+    word = re.search(rf"(?:{secrets.SECRET_WORDS})([^\n]*)$", near)
+    beside = any(re.fullmatch(r"[^\n]{0,12}", near[m.end() :]) for k in range(len(near)) for m in [re.compile(secrets.SECRET_WORDS).match(near, k)] if m) if word else False
+    return {
+        "size": math.log2(n), "changes": sum(a != b for a, b in zip(kind, kind[1:])) / n, "case_changes": sum(a + b == "aA" for a, b in zip(kind, kind[1:])) / n, "distinct": len(set(hit) & set(secrets.SIGNS)) / min(n, 64),
+        "digits": kind.count("0") / n, "upper": kind.count("A") / n, "symbols": kind.count("_") / n, "hex": float(set(hit) <= set("0123456789abcdef") or set(hit) <= set("0123456789ABCDEF")), "covered": covered / n,
+        "uuid": float([len(p) for p in low.split("-")] == [8, 4, 4, 4, 12] and set(low) <= set("0123456789abcdef-")), "dotted": float(hit.count(".") + hit.count("/")), "repeats": repeats / n, "secret_word": float(beside),
+        "assigned": float(bool(near.rstrip("\"'`")[-1:] and near[:-1 if near[-1:] in "\"'`" else None].rstrip().endswith(("=", ":")))), "quoted": float(near[-1:] in set("\"'`") and after[:1] in set("\"'`")),
+        "test_path": float(bool(set(re.split(r"[/_.-]", (path or "").lower())) & {"test", "tests", "spec", "fixture", "fixtures", "example", "examples", "sample", "samples", "doc", "docs", "mock", "mocks", "yarn", "poetry"})),
+    }
+
+
+def test_features_against_a_slow_version(spark):
+    rng = random.Random(9)
+    signs = "abcXYZ019+/_=.-!aa"
+    hits = ["".join(rng.choice(signs) for _ in range(rng.randint(8, 60))) for _ in range(150)] + ["your_token_here_12", "theandthe", "123e4567-e89b-12d3-a456-426614174000", "DEADBEEF12", "deadbeef12", "aaaa", "aaaaa"]
+    befores = ["token = ", 'api_key: "', "see commit ", "x=", "", "secret of a long line, and", "password `", "token\n"]
+    rows = [(h, rng.choice(befores), rng.choice(['"', " x", "", "`"]), rng.choice([None, "src/a.py", "src/tests/a.py", "docs/x", "latest/a", "a_test.py"])) for h in hits]
+    got = secrets.with_features(spark.createDataFrame(rows, "hit string, before string, after string, path string")).collect()
+    for r in got:
+        for name, value in slow_features(r.hit, r.before, r.after, r.path).items():
+            assert r[name] == pytest.approx(value), (name, r)
+
+
 def test_candidates_of_any_length(spark):
     """Names before '=' are not part of a hit, padding is, and no length is too great."""
     rng = random.Random(6)
@@ -231,10 +290,13 @@ def test_secrets_of_any_length(spark, forest):
     blob = lambda n: base64.b64encode(rng.randbytes(n)).decode()
     secret = {
         "short": lambda: f'password = "{made(rng.randint(9, 15))}"', "env": lambda: f"export CLIENT2_SECRET1_TOKEN={made(40)}", "short env": lambda: f"DB_PASSWORD={made(12)}",
+        "letters": lambda: f'password = "{"".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(10, 15)))}"',
+        "signs": lambda: f"passwd: '{made(rng.randint(5, 8))}{rng.choice('!#$%@&')}{made(4)}'", "hex": lambda: f'token = "{hashlib.sha1(rng.randbytes(9)).hexdigest()}"',
         "jwt": lambda: f"token: eyJ{made(33)}.{made(rng.randint(100, 900))}.{made(43)}", "key": lambda: f"private_key={blob(rng.randint(400, 3000))}",
     }
     harmless = {
         "named": lambda: f'token = "{rng.choice(["value", "example", "default", "content"])}_item{rng.randint(10, 99)}"', "image": lambda: f"data:image/png;base64,{blob(rng.randint(400, 3000))}",
+        "words": lambda: f'secret = "{rng.choice(["enter", "your", "insert", "default"])}{rng.choice(["-", "_", ""])}{rng.choice(["password", "value", "content"])}"',
         "env": lambda: f"COMMIT={hashlib.sha1(rng.randbytes(9)).hexdigest()}", "plain": lambda: f"version {made(12)}",
     }
     rows = [(label, k, f()) for label, kinds in ((1, secret), (0, harmless)) for k, f in kinds.items() for _ in range(40)]
@@ -266,6 +328,40 @@ def test_pieces_are_the_librarys(spark):
         assert auto.decode(ids) == text.replace("▁", " ")
 
 
+def test_merging_a_long_text(monkeypatch):
+    """By merging outright, with the best score and the leftmost of equals, as one that looks at all pairs each time."""
+    auto, rng = sentencepieces.automaton(MODEL), random.Random(8)
+
+    def slow(parts):
+        while True:
+            pairs = [(-auto.scores[auto.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in auto.ids]
+            if not pairs:
+                return parts
+            i = min(pairs)[1]
+            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b", "the", "in", "g", "aa", "é", "x"]) for _ in range(rng.randint(0, 40)))
+        assert auto._merged(text) == slow(list(text))
+    assert len(auto._merged("ab" * 50_000)) == 50_000
+
+
+def message(*fields):
+    """A message of (number, value) with integers under 128 and short strings."""
+    return b"".join(bytes([k << 3, v]) if isinstance(v, int) else bytes([k << 3 | 2, len(v)]) + v for k, v in fields)
+
+
+def test_settings_that_are_not_supported_raise():
+    plain = [(3, 1), (4, 0)]
+    model = lambda kind=2, norm=plain, more=(): message((2, message((3, kind))), (3, message(*norm)), *more)
+    assert sentencepieces.settings(model()) == (True, True) and sentencepieces.settings(model(1, [(3, 0), (4, 0)])) == (False, False)
+    piece = lambda kind: (1, message((1, b"x"), (3, kind)))
+    assert sentencepieces.settings(model(more=[piece(1), piece(6)])) == (True, True)
+    for bad in (model(3), model(norm=[(2, b"map"), (4, 0)]), model(norm=[(4, 1)]), model(norm=[]), model(norm=[*plain, (5, 0)]), model(more=[piece(4)])):
+        with pytest.raises(ValueError):
+            sentencepieces.settings(bad)
+
+
 def slow_best(text, scores):
     best = [(0.0, [])] + [None] * len(text)
     for j in range(1, len(text) + 1):
