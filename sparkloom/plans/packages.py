@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..sources import exchange, markdown, packages
+from ..sources import exchange, html, markdown, packages
 from ..sources.tables import table
 from .registry import query
 from .selections import new_rows, vocabulary, HAVE_SQL
@@ -271,3 +271,14 @@ def prompt_sizes(spark, sf_dir):
     """Segments, characters and parts of four segments that a prompt for a file has."""
     c = table(spark, sf_dir, "conversations").where("role <> 'system'")
     return c.groupBy(F.col("conv_id").alias("file")).agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"), F.ceil(F.count("*") / 4).alias("parts"))
+
+
+@query(
+    """SELECT doc_id, unnest([0, 1, 2])::INTEGER AS no, unnest(['h1', 'p', 'li']) AS tag, unnest([source, 'A <1>' || lang || ' <2>i</2></1> x' || chr(10) || 'y <3/>', doc_id || ' & co']) AS text FROM documents"""
+)
+def book_segments(spark, sf_dir):
+    """A page of a book for each document: blocks with numbered inline tags; heads, scripts and blocks without words are left out."""
+    n = F.col("doc_id").cast("string")
+    parts = ("<html><head><title>no</title></head><body><h1>", F.col("source"), "</h1>\n<p>A <b>", F.col("lang"), " <i>i</i></b> x<br/>y <img src='i'/></p><script>no()</script><p>--</p><ul><li><span>", n, " &amp; co</span></li></ul></body></html>")
+    page = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return html.segments(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html"))).withColumnRenamed("page_id", "doc_id")

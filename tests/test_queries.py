@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import zlib
 
 import duckdb
 import pytest
@@ -42,6 +43,11 @@ def test_against_sql(spark, duck, name):
         assert rows(got.columns, data) == rows(want.columns, want.fetchall())
 
 
+def test_checksums(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.crc32 for r in registry.QUERIES["content_checksums"](spark, SF).collect()} == {k: zlib.crc32(t.encode()) for k, t in texts.items()}
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
