@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -46,6 +47,64 @@ def test_pairs_rank_good_over_bad():
     assert ((s >= 0.3) == (y == 1)).mean() > 0.97
 
 
+def slow_features(text):
+    """FEATURES of one text, from bytes, words and lines in plain Python."""
+    raw = text.encode()
+    if not raw:
+        return [0.0] * 15
+    n = len(raw)
+    share = lambda signs: sum(b in signs for b in raw) / n
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())
+    count = max(len(words), 1)
+    triples = list(zip(words, words[1:], words[2:]))
+    tokens = [t for t in re.split(rb"[ \t\r\n]", raw) if t]
+    lines = raw.split(b"\n")
+    symbols = b"#$%&*+<=>@[\\]^_`{}~/"
+    out = [
+        math.log1p(n) / 10, share(bytes(range(65, 91))), share(b"0123456789") * 4, share(symbols) * 8, share(b"|") * 8, share(b"!") * 8, share(b"\"'(),-.:;?") * 4, share(b" \t\r\n"), n / count / 20,
+        sum(a == b for a, b in zip(words, words[1:])) / count, len(set(words)) / count, len(set(triples)) / max(len(triples), 1), 1 - len(set(lines)) / len(lines), math.log1p(len(words) / len(lines)) / 10,
+        sum(t[-1] in symbols + b"!|" for t in tokens) / max(len(tokens), 1),
+    ]
+    return [min(max(v, 0.0), 1.0) for v in out]
+
+
+def test_features_against_a_slow_version(spark):
+    rng = random.Random(2)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += ["".join(rng.choice(["a ", "b", "AB", "1", "|", "! ", "é", ".", "\n", "x x x", "# ", "\t"]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "\n", " "]
+    got = quality.features(texts)
+    for row, text in zip(got, texts):
+        assert row.tolist() == pytest.approx(slow_features(text)), repr(text)
+
+
+def test_fit_is_where_the_loss_is_least():
+    """The slope of the pairwise loss, pair by pair, is nought at the fitted weights; the threshold cuts off as many as are labelled bad."""
+    rng = np.random.default_rng(4)
+    x, ridge, pairs = rng.random((60, 5)), 1e-3, 400
+    y = (x[:, 0] + 0.3 * x[:, 2] + 0.2 * rng.normal(size=60) > 0.6).astype(int)
+    model = quality.fit(x, y, pairs=pairs, ridge=ridge)
+    draw, good, bad = np.random.default_rng(8), np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    chosen = list(zip(good[draw.integers(len(good), size=pairs)], bad[draw.integers(len(bad), size=pairs)]))
+    slope = [ridge * w for w in model.w]
+    for g, b in chosen:
+        z = sum(model.w[i] * (x[g][i] - x[b][i]) for i in range(5))
+        for i in range(5):
+            slope[i] -= (x[g][i] - x[b][i]) / (1 + math.exp(z)) / pairs
+    assert max(map(abs, slope)) < 1e-6
+    assert (model.score(x) < quality.THRESHOLD).sum() == len(bad)
+
+
+def test_rows_that_share_a_doc_id_are_learnt_once(spark):
+    texts = ["good words of a text. " * 9, "bad | bad | !! bad"]
+    rows = [(i, texts[i % 2], "", "", 0) for i in range(40)] + [(None, "x", "", "", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    one = quality.train(docs, labels)
+    more = quality.train(docs.unionByName(docs).repartition(5), labels.unionByName(labels))
+    assert one.w.tolist() == more.w.tolist() and one.shift == more.shift
+    assert docs.select(quality.held_out().alias("h")).where("h is null").count() == 0
+
+
 def test_repeated_lines_are_seen():
     x = quality.features(["a b\nc d\na b\na b", "a b\nc d", "", None])
     assert x[0, quality.FEATURES.index("repeated_lines")] == 0.5 and x[1, quality.FEATURES.index("repeated_lines")] == 0
@@ -174,6 +233,27 @@ def test_found_identifiers_make_patterns(spark):
     assert got[50] == "id:5:13" and got[60] == "id:68:76" and got[61] == got[62] == ""
 
 
+def slow_masked(text, spans):
+    out, at = "", 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += text[at:start] + f"[{pii.KINDS[kind].upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_many_spans_in_one_text(spark):
+    """A text full of spans, some overlapping, and with the signs that stand for spans inside the operator."""
+    rng = random.Random(15)
+    bits = ["me@x.org ", "word ", "192.168.0.1, ", "+1 603 555 8791;", "4111 1111 1111 1111 ", "+4111111111111111@x.org ", "\U0001f642 é ", "\ue001\ue000 ", "a\ue001b "]
+    texts = {i: "".join(rng.choice(bits) for _ in range(n)) for i, n in enumerate((0, 1, 2, 5, 50, 500, 20_000))}
+    df = spark.createDataFrame([(k, t, "", "", 0) for k, t in texts.items()], DOCS)
+    compare(pii.report(df).collect(), texts)
+    for r in pii.masked(df).collect():
+        want = slow_masked(texts[r.doc_id], base(texts[r.doc_id]))
+        assert r.text == want and r.n_chars == len(want)
+
+
 def test_pii_awkward_rows(docs, awkward, none):
     got = pii.report(docs).collect()
     assert len(got) == len(awkward)
