@@ -5,6 +5,9 @@ Where an id may come twice, the later one wins; tables carry an ``ord`` for that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,3 +265,52 @@ def undone(targets: DataFrame, log: DataFrame, steps: Column, *by: str) -> DataF
     both = targets.join(was, [*by, "id"], "full_outer")
     now = F.when(F.col("was").isNotNull(), F.col("was.before")).otherwise(F.col("target"))
     return both.select(*by, "id", now.alias("target")).where(F.coalesce(F.trim("target"), F.lit("")) != "")
+
+
+#: Characters of a segment that are looked for; length under which a text is short, and how far ahead one may be found (fixed values).
+PROBE, SHORT_TEXT, FAR = 48, 8, 4000
+
+
+def match_key(text: Column) -> Column:
+    """A text as it is compared: lower case, without numbered tags, white space and soft hyphens."""
+    bare = F.regexp_replace(F.regexp_replace(text, "</?[0-9]+/?>", ""), "‹(/?[0-9]+/?)›", "<$1>")
+    return F.lower(F.regexp_replace(bare, "[\\s\\p{Z}\\x{00AD}]", ""))
+
+
+def places(text: str, keys: list[str]) -> list[tuple[int, int]]:
+    """(number, start) of the keys that are found in turn, each after the end of the last one found.
+
+    A place is not taken if a short key has it far ahead, or if the key that follows is found before it: then it is another one's.
+    """
+    out, at = [], 0
+    for i, key in enumerate(keys):
+        start = text.find(key[:PROBE], at)
+        if start < 0 or (len(key) < SHORT_TEXT and start - at > FAR):
+            continue
+        if i + 1 < len(keys) and start > at and 0 <= text.find(keys[i + 1][:PROBE], at, start + len(keys[i + 1][:PROBE]) - 1) < start:
+            continue
+        out.append((i, start))
+        at = min(start + len(key), len(text))
+    return out
+
+
+def laid_out(books: DataFrame, segments: DataFrame) -> DataFrame:
+    """(doc_id, id, start, length): where a book's segments stand in its text, both as ``match_key`` sees them.
+
+    ``books(doc_id, text)``, ``segments(doc_id, ord, id, text, hidden)``. Each place depends on those before it, so a book is worked on as one row;
+    hidden and blank segments have no place.
+    """
+    key = match_key(F.col("text"))
+    own = segments.where(~F.col("hidden")).select("doc_id", "ord", "id", key.alias("key")).where("key <> ''")
+    own = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "key"))).alias("own"))
+    rows = books.select("doc_id", key.alias("text")).join(own, "doc_id").select("doc_id", "text", F.col("own.id").alias("ids"), F.col("own.key").alias("keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text, ids, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ids", "keys"))):
+                out += [(doc, ids[i], start, len(keys[i])) for i, start in places(text or "", keys)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "id", "start", "length"])
+
+    return rows.select(F.col("doc_id").cast("long"), "text", F.col("ids").cast("array<long>").alias("ids"), "keys").mapInArrow(run, "doc_id long, id long, start long, length long")

@@ -343,3 +343,16 @@ def undone_edits(spark, sf_dir):
     log = e.withColumn("before", F.lag(value).over(Window.partitionBy("user_id", "id").orderBy("ord")))
     now = e.groupBy("user_id", "id").agg(F.concat(F.lit("v"), F.max("ord").cast("string")).alias("target"))
     return reconcile.undone(now, log, F.lit(5), "user_id")
+
+
+@query(
+    """WITH k AS (SELECT conv_id AS doc_id, turn AS id, role = 'system' AS hidden, regexp_replace(lower('No. ' || turn || ': ' || text), '[\\s\\p{Z}\\x{00AD}]', '', 'g') AS key FROM conversations)
+SELECT doc_id, id, start, length FROM (SELECT doc_id, id, hidden, CAST(coalesce(sum(length(key)) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(key) AS length FROM k) WHERE NOT hidden"""
+)
+def laid_out_segments(spark, sf_dir):
+    """Turns, numbered, found again in the text of their conversation; system turns are hidden."""
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.col("turn").alias("id"), F.concat(F.lit("No. "), F.col("turn").cast("string"), F.lit(": "), "text").alias("text"), (F.col("role") == "system").alias("hidden")
+    )
+    own = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
+    return reconcile.laid_out(own.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text")), c)

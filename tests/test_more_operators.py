@@ -158,3 +158,14 @@ def test_any_format(spark):
     files = spark.createDataFrame([("f", "hello world"), ("g", "same")], "file string, text string")
     edits = spark.createDataFrame([("f", 6, 11, "you"), ("f", 0, 1, "J")], "file string, start int, end int, value string")
     assert {r.file: r.text for r in exchange.spliced(edits, files).collect()} == {"f": "Jello you", "g": "same"}
+
+
+def test_places_of_segments():
+    """A repeat further on is left to the segment it belongs to, short texts are not looked for far away."""
+    assert reconcile.places("onetwothree", ["one", "two", "three"]) == [(0, 0), (1, 3), (2, 6)]
+    assert reconcile.places("chaptertextchapter", ["chapter", "missing", "text", "chapter"]) == [(0, 0), (2, 7), (3, 11)]
+    assert reconcile.places("axxxxxxxxbxxxxxxxxa", ["a", "xxxxxxxxb", "a"]) == [(0, 0), (1, 1), (2, 18)]
+    assert reconcile.places("intro" + "body" * 20 + "title", ["title", "intro"]) == [(1, 0)]
+    assert reconcile.places("start" + "x" * 5000 + "short", ["start", "short"]) == [(0, 0)]
+    long = "y" * 100 + "end"
+    assert reconcile.places("z" * 5000 + long, [long]) == [(0, 5000)]
