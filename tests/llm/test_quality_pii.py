@@ -174,19 +174,26 @@ def slow_bootstrap(texts):
     seen = []
     for doc, text in texts.items():
         spans = base(text)
-        toks = [(m.start(), m.end()) for m in re.finditer(r"(?<!\S)\S*[0-9]\S*", text, re.ASCII)]
+        # A span is one sign "S" and some "s" in a copy of the text, so that a token is whole around it.
+        copy, at, own = list(re.sub("[Ss]", "x", text)), 0, []
+        for x, _, y in spans:
+            copy[x:y] = ["s" if x + i < at or i else "S" for i in range(y - x)] if x >= at else [c if x + i < at else "s" for i, c in enumerate(copy[x:y])]
+            own += [(x, y)] if x >= at else []
+            at = max(at, y)
+        copy = "".join(copy)
+        toks = [(m.start(), m.end()) for m in re.finditer(r"(?<!\S)\S*[0-9S]\S*", copy)]
         for i, (a, b) in enumerate(toks):
-            core = re.sub(r"^[^\w+]+|[^\w]+$", "", text[a:b])
+            n, seed = copy[:a].count("S"), "S" in copy[a:b]
             skip = len(re.match(r"[^\w+]*", text[a:b])[0])
+            core = re.sub(r"^[^\w+]+|[^\w]+$", "", text[a:b])
             s, e = a + skip, a + skip + len(core)
-            over = [x for x in spans if x[0] < e and s < x[2]]
-            if not over and (len(core) < 6 or len(re.sub("[^0-9]", "", core)) < 4) or any(x[0] < s for x in over):
+            if not seed and (len(core) < 6 or len(re.sub("[^0-9]", "", core)) < 4):
                 continue
-            core = text[over[0][0] : over[0][2]] if over else core
+            core = text[own[n][0] : own[n][1]] if seed else core
             word = lambda w: re.sub(r"[^a-z=:#]", "", w.lower())
             before, after = text[toks[i - 1][1] if i else 0 : a], text[b : toks[i + 1][0] if i + 1 < len(toks) else len(text)]
             left, right = word((before.split() or [""])[-1]), word((after.split() or [""])[0])
-            seen.append((doc, s, e, core, [p for p in (f"L {left}", f"R {right}") if len(p) > 2], bool(over)))
+            seen.append((doc, s, e, core, [p for p in (f"L {left}", f"R {right}") if len(p) > 2], seed))
     graph = {}
     for *_, inst, pats, seed in seen:
         for p in pats:
@@ -198,7 +205,7 @@ def slow_bootstrap(texts):
         conf = {}
         for p in {k[0] for k in graph}:
             own = {i: s for (q, i), s in graph.items() if q == p}
-            if sum(own.values()) >= pii.SUPPORT:
+            if sum(belief[i] >= pii.BELIEF for i in own) >= pii.SUPPORT:
                 conf[p] = sum(belief[i] for i in own) / len(own)
         new = {}
         for i in belief:
