@@ -30,8 +30,8 @@ TEST_PATHS = r"(?:^|[/_.-])(?:tests?|spec|fixtures?|examples?|samples?|docs?|moc
 
 SIGN = "[A-Za-z0-9+/_.-]"
 TOKEN = rf"(?<!{SIGN})(?=[A-Za-z+/_.-]*+[0-9])(?=[0-9+/_.-]*+[A-Za-z]){SIGN}{{8,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=.-]))?"
-#: A quoted value of a secret word: any characters but quotes and white space.
-QUOTED = rf"(?<=(?i:{SECRET_WORDS})[\"'`]?\s{{0,3}}(?:[:=]|:=|=>)\s{{0,3}}[\"'`])[^\"'`\s]{{8,}}+(?=[\"'`])"
+#: A quoted value of a secret word: any characters but quotes and white space. The quote and the value are looked for before the word, which costs far more.
+QUOTED = rf"(?<=[\"'`])(?=[^\"'`\s]{{8,}}+[\"'`])(?<=(?i:{SECRET_WORDS})[\"'`]?\s{{0,3}}(?:[:=]|:=|=>)\s{{0,3}}[\"'`])[^\"'`\s]{{8,}}+(?=[\"'`])"
 CANDIDATE = f"{QUOTED}|{TOKEN}"
 SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 #: Length from which a run is a candidate wherever it stands.

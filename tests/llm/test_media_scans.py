@@ -4,6 +4,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -283,6 +284,30 @@ def test_candidates_of_any_length(spark):
     assert sorted(got) == [(i, 11 + len(a), 11 + len(a) + len(b), hashlib.sha256(b.encode()).hexdigest()) for i, (a, b) in enumerate(cases.items())]
 
 
+def test_quoted_values_in_little_time(spark):
+    """Places without a quote before them cost next to nothing; the values found are those of the words alone."""
+    plain = rf"(?<=(?i:{secrets.SECRET_WORDS})[\"'`]?\s{{0,3}}(?:[:=]|:=|=>)\s{{0,3}}[\"'`])[^\"'`\s]{{8,}}+(?=[\"'`])"
+    rng = random.Random(8)
+    parts = ["token", "API_key", "Auth", "x", " ", "  ", "\n", ":", "=", ":=", "=>", '"', "'", "`", "abcdefg", "h!", "é$", "a1b2c3d4e5"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(4000)]
+    texts += [f"{w}{q}{s}{a}{q}{v}{q}" for w in ("Password", "pwds") for q in ("'", '"', "") for s in ("", "   ", "    ") for a in ("=", ":=", "=>", "==") for v in ("8 signs!", "8_signs!", "7_signs", "9_signs'!")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    all_of = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    got = df.select(all_of(secrets.QUOTED).alias("got"), all_of(plain).alias("want")).collect()
+    assert all(r.got == r.want for r in got) and 50 < sum(len(r.want) for r in got)
+
+    prose = spark.createDataFrame([("It isn't the author's word, nor hers. " * 2000,)] * 8, "text string").repartition(8).cache()
+    prose.count()
+
+    def seconds(pattern):
+        start = time.perf_counter()
+        assert prose.where(F.col("text").rlike(pattern)).count() == 0
+        return time.perf_counter() - start
+
+    seconds(secrets.TOKEN)
+    assert seconds(secrets.QUOTED) < 0.2 * seconds(plain) + 0.2
+
+
 def test_secrets_of_any_length(spark, forest):
     """Short, long and env-style secrets are told from harmless runs like them."""
     rng = random.Random(7)
