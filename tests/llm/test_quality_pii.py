@@ -94,6 +94,47 @@ def test_fit_is_where_the_loss_is_least():
     assert (model.score(x) < quality.THRESHOLD).sum() == len(bad)
 
 
+def test_fit_is_of_all_pairs():
+    """The slope of the loss over every good row with every bad one is nought."""
+    rng = np.random.default_rng(6)
+    x, ridge = rng.random((500, 5)), 1e-3
+    for noise in (0.0, 0.2):
+        y = (x[:, 0] + 0.3 * x[:, 2] + noise * rng.normal(size=500) > 0.6).astype(int)
+        model = quality.fit(x, y, ridge=ridge)
+        d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, 5)
+        slope = ridge * model.w - (d / (1 + np.exp(d @ model.w))[:, None]).mean(axis=0)
+        assert np.abs(slope).max() < 1e-8
+        assert (model.score(x) < quality.THRESHOLD).sum() == (y == 0).sum()
+
+
+def test_scores_of_a_rank_are_exact(monkeypatch):
+    monkeypatch.setattr(quality, "FEW", 3)
+    rng = np.random.default_rng(7)
+    w = np.array([2.0, -1.0])
+    for x in (rng.random((900, 2)), np.zeros((900, 2)), np.repeat(rng.random((9, 2)), 100, axis=0), rng.random((900, 2)) * 1e-9):
+        raw = np.sort(quality._raw(x, w))
+        ranks = (0, 1, 99, 100, 450, 898, 899)
+        assert quality._nth(lambda f, _: f(x, np.zeros(900, np.int64)), w, -1.0, 2.0, ranks) == [raw[r] for r in ranks]
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """More rows than the 20,000 that were learnt from before; the cut is that of all of them."""
+    n = 30_000
+    text = F.when(F.col("doc_id") % 7 < 3, F.concat(F.lit("Good words, "), F.repeat(F.lit("and more "), (F.col("doc_id") % 11).cast("int")), F.col("doc_id"))).otherwise(
+        F.concat(F.lit("bad | words !! "), F.repeat(F.lit("x 1 "), (F.col("doc_id") % 13).cast("int")), F.col("doc_id"))
+    )
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    labels = docs.select("doc_id", ((F.col("doc_id") % 7 < 3) != (F.col("doc_id") % 97 == 0)).cast("int").alias("quality"))
+    model = quality.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where(~quality.held_out()).collect()
+    assert len(rows) > 20_000
+    y, x = np.array([r.quality for r in rows]), quality.features([r.text for r in rows])
+    assert model.w.tolist() == quality.fit(x, y).w.tolist()
+    raw = np.sort(quality._raw(x, model.w))
+    cut = (y == 0).sum()
+    assert model.slope * (raw[cut - 1] + raw[cut]) / 2 + model.shift == pytest.approx(math.log(0.3 / 0.7))
+
+
 def test_rows_that_share_a_doc_id_are_learnt_once(spark):
     texts = ["good words of a text. " * 9, "bad | bad | !! bad"]
     rows = [(i, texts[i % 2], "", "", 0) for i in range(40)] + [(None, "x", "", "", 0)]
